@@ -255,12 +255,16 @@ def rolling_features(panel: DataFrame, windows: Sequence[int] = DEFAULTS.feature
 
 
 def rolling_correlation(left: str, right: str, rows: int) -> Column:
-    """Pearson correlation over complete pairs; NULL where a side does not vary."""
+    """Pearson correlation over complete pairs; NULL where a side does not vary.
+
+    Rounded to 12 digits, so that exact correlations (two points give +1 or -1)
+    stay equal and tie in the date ranks instead of being ordered by rounding noise.
+    """
     w = _rolling(rows)
     x = F.when(F.col(right).isNotNull(), F.col(left))
     y = F.when(F.col(left).isNotNull(), F.col(right))
     spread = F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w)
-    return F.try_divide(F.covar_samp(x, y).over(w), spread)
+    return F.round(F.try_divide(F.covar_samp(x, y).over(w), spread), 12)
 
 
 def volume_correlations(panel: DataFrame, windows: Sequence[int] = DEFAULTS.feature_windows) -> DataFrame:

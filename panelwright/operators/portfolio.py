@@ -16,6 +16,7 @@ from panelwright.functions.keys import DATE, INSTRUMENT
 from panelwright.functions.numeric import finite, simple_return
 from panelwright.operators.ordering import fractional_ranks
 from panelwright.operators.scores import all_close
+from panelwright.sources.storage import materialized
 
 FALLBACK = "covariance_fallback:insufficient common return history"
 
@@ -269,7 +270,8 @@ def select_portfolios(
     pairs = penalty_pairs(variance_penalties, correlation_penalties)
     penalties = ["variance_penalty", "correlation_penalty"]
     if subsets is None:
-        subsets = subset_statistics(candidates, covariances, k=k, by=by)
+        # Read twice below, for the best objective and for the rows that reach it.
+        subsets = materialized(subset_statistics(candidates, covariances, k=k, by=by))
     members = F.struct("place", INSTRUMENT, *[c for c in ("future_return",) if c in candidates.columns])
     pools = candidates.groupBy(*keys).agg(
         F.sort_array(F.collect_list(members)).alias("pool"),
