@@ -217,6 +217,104 @@ def one_step(bars: DataFrame) -> DataFrame:
     ).withColumn("close_to_vwap", ratio("close", "vwap_proxy") - 1.0)
 
 
+def _pairs(columns: Sequence[str]) -> dict[str, tuple[Column, Column]]:
+    """Price and volume per correlation, both NULL unless the pair is complete."""
+    prices = {"open": "open", "close": "close", "vwap": "vwap_proxy"}
+    return {
+        label: (F.when(F.col("volume").isNotNull(), F.col(p)), F.when(F.col(p).isNotNull(), F.col("volume")))
+        for label, p in prices.items()
+        if p in columns
+    }
+
+
+def _window_state(panel: DataFrame, rows: int, correlations: bool) -> Column:
+    """Counts, sums, extremes and moments of the last ``rows`` rows as one struct."""
+    w, r = _rolling(rows), F.col("close_return_1")
+    n = F.count(r).over(w)
+    fields = {
+        "rows": F.count(F.lit(1)).over(w),
+        "close": F.sum("close").over(w),
+        "volume": F.sum("volume").over(w),
+        "top": F.max("high").over(w),
+        "bottom": F.min("low").over(w),
+        "moved": F.sum(F.abs(r)).over(w),
+        "gained": F.sum(F.greatest(r, F.lit(0.0))).over(w),
+        "rising": F.sum(F.when(r > 0, 1.0).otherwise(0.0)).over(w),
+        "r_n": n,
+        "r_mean": F.avg(r).over(w),
+        "r_spread": F.var_pop(r).over(w) * n,
+    }
+    for name in ("amount", "turnover_rate"):
+        if name in panel.columns:
+            fields |= {name: F.sum(name).over(w), name + "_n": F.count(name).over(w)}
+    for label, (x, y) in _pairs(panel.columns).items() if correlations else ():
+        n = F.count(x).over(w)
+        fields |= {
+            label + "_n": n,
+            label + "_x": F.avg(x).over(w),
+            label + "_y": F.avg(y).over(w),
+            label + "_xx": F.var_pop(x).over(w) * n,
+            label + "_yy": F.var_pop(y).over(w) * n,
+            label + "_xy": F.covar_pop(x, y).over(w) * n,
+        }
+    return F.struct(*[c.alias(f) for f, c in fields.items()])
+
+
+def _merged_state(now: str, before: str, fields: Sequence[str]) -> Column:
+    """State of two adjacent windows from their states (pairwise moment update)."""
+
+    def zero(side: str, f: str) -> Column:
+        return F.coalesce(F.col(side)[f], F.lit(0))
+
+    def shift(group: str, axis: str) -> Column:
+        return zero(before, f"{group}_{axis}") - zero(now, f"{group}_{axis}")
+
+    moments = {f.removesuffix("_n") for f in fields if f == "r_n" or f.endswith("_n") and f.replace("_n", "_xy") in fields}
+    merged: dict[str, Column] = {}
+    for f in fields:
+        group, _, part = f.rpartition("_")
+        if f == "top":
+            merged[f] = F.greatest(F.col(now)[f], F.col(before)[f])
+        elif f == "bottom":
+            merged[f] = F.least(F.col(now)[f], F.col(before)[f])
+        elif group in moments and part != "n":
+            n1, n2 = zero(now, group + "_n"), zero(before, group + "_n")
+            if part in ("mean", "x", "y"):
+                merged[f] = zero(now, f) + F.coalesce(F.try_divide(shift(group, part) * n2, n1 + n2), F.lit(0.0))
+            else:
+                first, second = ("mean", "mean") if part == "spread" else (part[0], part[1])
+                product = shift(group, first) * shift(group, second) * n1 * n2
+                merged[f] = zero(now, f) + zero(before, f) + F.coalesce(F.try_divide(product, n1 + n2), F.lit(0.0))
+        else:
+            merged[f] = zero(now, f) + zero(before, f)
+    return F.struct(*[c.alias(f) for f, c in merged.items()])
+
+
+def _with_states(panel: DataFrame, windows: Sequence[int], correlations: bool) -> DataFrame:
+    """Adds ``_s<w>`` for every window.
+
+    A window twice as long as another one is put together from two of its states,
+    so 10 and 20 rows cost a lag each instead of 10 and 20 updates per row.
+    """
+    done: list[int] = []
+    for n in sorted(windows):
+        half = n // 2
+        if n % 2 == 0 and half in done:
+            fields = panel.schema[f"_s{half}"].dataType.fieldNames()
+            panel = panel.withColumn("_before", F.lag(f"_s{half}", half).over(_history()))
+            panel = panel.withColumn(f"_s{n}", _merged_state(f"_s{half}", "_before", fields)).drop("_before")
+        else:
+            feeds = correlations and any(n * 2**k in windows and n * 2**k in CORRELATION_WINDOWS for k in range(6))
+            panel = panel.withColumn(f"_s{n}", _window_state(panel, n, feeds))
+        done.append(n)
+    return panel
+
+
+def _spread(total: Column, n: Column) -> Column:
+    """Sample standard deviation from a sum of squared deviations."""
+    return F.when(n > 1, F.sqrt(F.try_divide(total, n - 1)))
+
+
 def rolling_features(panel: DataFrame, windows: Sequence[int] = DEFAULTS.feature_windows) -> DataFrame:
     """Levels, risk and path shape over the last w rows. Needs ``one_step``."""
     r = F.col("close_return_1")
@@ -261,8 +359,10 @@ def rolling_correlation(left: str, right: str, rows: int) -> Column:
     stay equal and tie in the date ranks instead of being ordered by rounding noise.
     """
     w = _rolling(rows)
-    x = F.when(F.col(right).isNotNull(), F.col(left))
-    y = F.when(F.col(left).isNotNull(), F.col(right))
+    x, y = F.col(left), F.col(right)
+    if left == "vwap_proxy":
+        # The only side that may be missing: leave those rows out of the other one too.
+        y = F.when(x.isNotNull(), y)
     spread = F.stddev_samp(x).over(w) * F.stddev_samp(y).over(w)
     return F.round(F.try_divide(F.covar_samp(x, y).over(w), spread), 12)
 
@@ -302,10 +402,14 @@ def optional_levels(panel: DataFrame) -> DataFrame:
     return panel.withColumns(added) if added else panel
 
 
-def instrument_features(bars: DataFrame, windows: Sequence[int] = DEFAULTS.feature_windows) -> DataFrame:
+def instrument_features(
+    bars: DataFrame, windows: Sequence[int] = DEFAULTS.feature_windows, *, correlations: bool = True
+) -> DataFrame:
     """All features that look at one instrument: one shuffle and one sort by instrument."""
     panel = rolling_features(one_step(bar_shape(bars)), windows)
-    return optional_levels(composites(volume_correlations(panel, windows), windows))
+    if correlations:
+        panel = volume_correlations(panel, windows)
+    return optional_levels(composites(panel, windows))
 
 
 # --- per-date features ----------------------------------------------------
@@ -430,7 +534,9 @@ def build_features(
     if unknown:
         raise ValueError(f"features not available for these bars and windows: {unknown}")
 
-    panel = instrument_features(bars, windows)
+    panel = instrument_features(
+        bars, windows, correlations=any("_volume_corr_" in name for name in (*wanted, *sources))
+    )
     needs_market = bool((set(wanted) | set(sources)) & {*MARKET, *EXCESS})
     limit = max_group_rows
     if needs_market or sources:
@@ -440,10 +546,17 @@ def build_features(
     plain = [f for f in wanted if not f.endswith(RANK_SUFFIX)]
     # A feature may replace the bar column of the same name.
     carried = [c for c in keep if c not in wanted]
-    if sources:
-        panel = panel.select(*dict.fromkeys([INSTRUMENT, DATE, *carried, *plain, *sources]))
-        panel = date_ranks(panel, sources, max_group_rows=limit)
-    return panel.select(*carried, *[zero_filled(f).alias(f) for f in wanted])
+    rest = [c for c in carried if c not in (INSTRUMENT, DATE)]
+    finished = [*rest, *[zero_filled(f).alias(f) for f in plain]]
+    if not sources:
+        return panel.select(*[c for c in carried if c not in rest], *finished).select(*carried, *wanted)
+    # Every rank sorts its date once. What is not ranked travels as one struct,
+    # which the sorts copy as a block instead of column by column.
+    packed = panel.select(INSTRUMENT, DATE, F.struct(*(finished or [F.lit(0)])).alias("_rest"), *dict.fromkeys(sources))
+    ranked = date_ranks(packed, list(dict.fromkeys(sources)), max_group_rows=limit)
+    columns = {c: F.col(c) if c in (INSTRUMENT, DATE) else F.col("_rest")[c] for c in [*carried, *plain]}
+    columns |= {f: zero_filled(f) for f in wanted if f not in columns}
+    return ranked.select(*[columns[c].alias(c) for c in [*carried, *wanted]])
 
 
 def fill_missing_features(panel: DataFrame, features: Sequence[str]) -> DataFrame:

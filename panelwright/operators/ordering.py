@@ -120,7 +120,10 @@ def fractional_ranks(
         raise ValueError(f"missing must be 'exclude' or 'lowest': {missing}")
     lowest = missing == "lowest"
     if in_window:
-        return df.select("*", *[_window_rank(v, group, lowest).alias(r) for v, r in values.items()])
+        for v, r in values.items():
+            # One step per rank keeps only the finished rank for the next sort.
+            df = df.withColumn(r, _window_rank(v, group, lowest))
+        return df
     return _distributed_ranks(df, key, group, values, lowest)
 
 

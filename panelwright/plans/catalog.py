@@ -238,12 +238,12 @@ def turnover_ratio(spark, folder):
 
 @query
 def market_state(spark, folder):
-    return shown(features.market_state(features.instrument_features(load_bars(spark, folder))))
+    return shown(features.market_state(features.instrument_features(load_bars(spark, folder), correlations=False)))
 
 
 @query
 def excess_features(spark, folder):
-    panel = features.instrument_features(load_bars(spark, folder))
+    panel = features.instrument_features(load_bars(spark, folder), correlations=False)
     return shown(features.excess_features(panel, features.market_state(panel)), *KEYS, *features.EXCESS, wide=WIDE)
 
 
