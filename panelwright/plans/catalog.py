@@ -40,28 +40,35 @@ def query(fn: Query) -> Query:
 # --- inputs derived from the given tables ---------------------------------
 
 
-def labelled(spark: SparkSession, folder: str, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+def stored_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars written once, for queries that read them several times."""
+    return materialized(load_bars(spark, folder))
+
+
+def labelled(
+    spark: SparkSession, folder: str, names: list[str], keep: tuple[str, ...] = (), bars: DataFrame | None = None
+) -> DataFrame:
     """Features plus forward returns on valid samples, narrow columns only."""
-    bars = load_bars(spark, folder)
+    bars = stored_bars(spark, folder) if bars is None else bars
     panel = features.build_features(bars, names, keep=[*KEYS, "open", *keep])
     wanted = [*KEYS, *keep, *names, "open_t_buy", "open_t_sell", "future_return"]
     return labels.valid_samples(labels.forward_returns(panel)).select(*wanted)
 
 
-def scored_panel(spark: SparkSession, folder: str) -> DataFrame:
+def scored_panel(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
     """Labelled rows with one score column per stand-in model and the overlay feature."""
-    rows = labelled(spark, folder, list(MODELS.values()))
+    rows = labelled(spark, folder, list(MODELS.values()), bars=bars)
     return rows.select(*KEYS, "future_return", *[F.col(f).alias(m) for m, f in MODELS.items()], "volume_ratio_20")
 
 
-def one_score(spark: SparkSession, folder: str) -> DataFrame:
-    rows = labelled(spark, folder, ["price_to_ma_20_cs_rank"])
+def one_score(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
+    rows = labelled(spark, folder, ["price_to_ma_20_cs_rank"], bars=bars)
     return rows.select(*KEYS, "future_return", F.col("price_to_ma_20_cs_rank").alias("pred_score"))
 
 
-def fold_scores(spark: SparkSession, folder: str) -> DataFrame:
+def fold_scores(spark: SparkSession, folder: str, bars: DataFrame | None = None) -> DataFrame:
     """Scored rows of every outer validation fold."""
-    rows = materialized(scored_panel(spark, folder))
+    rows = materialized(scored_panel(spark, folder, bars))
     return splits.with_folds(rows, splits.purged_walk_forward(rows, **FOLDS), splits.VALID)
 
 
@@ -243,7 +250,7 @@ def market_state(spark, folder):
 
 @query
 def excess_features(spark, folder):
-    panel = features.instrument_features(load_bars(spark, folder), correlations=False)
+    panel = features.instrument_features(stored_bars(spark, folder), correlations=False)
     return shown(features.excess_features(panel, features.market_state(panel)), *KEYS, *features.EXCESS, wide=WIDE)
 
 
@@ -257,13 +264,13 @@ def cs_rank(spark, folder):
 @query
 def feature_panel(spark, folder):
     """The default preset: 81 features, all finite."""
-    return shown(features.build_features(load_bars(spark, folder), keep=KEYS), wide=WIDE)
+    return shown(features.build_features(stored_bars(spark, folder), keep=KEYS), wide=WIDE)
 
 
 @query
 def full_panel(spark, folder):
     """Every feature of every family."""
-    return shown(features.build_features(load_bars(spark, folder), "full", keep=KEYS), wide=WIDE)
+    return shown(features.build_features(stored_bars(spark, folder), "full", keep=KEYS), wide=WIDE)
 
 
 # --- labels ---------------------------------------------------------------
@@ -325,7 +332,7 @@ def ranking_panel(spark, folder):
     from panelwright.plans.panels import ranking_panel as build
 
     names = ["price_to_ma_20", "close_return_5", "volume_ratio_20", "price_to_ma_20_cs_rank"]
-    panel = build(load_bars(spark, folder), names, head_quantile=0.2, head_weight=3.0)
+    panel = build(stored_bars(spark, folder), names, head_quantile=0.2, head_weight=3.0)
     return shown(panel, *KEYS, *names, "future_return", "relevance_label", "sample_weight", "qid")
 
 
@@ -334,7 +341,7 @@ def inference_panel(spark, folder):
     from panelwright.plans.panels import inference_panel as build
 
     names = ["price_to_ma_20", "close_return_5", "volume_ratio_20", "price_to_ma_20_cs_rank", "not_a_feature"]
-    return shown(build(load_bars(spark, folder), names), *KEYS, *names)
+    return shown(build(stored_bars(spark, folder), names), *KEYS, *names)
 
 
 @query
@@ -496,16 +503,18 @@ def topk_picks(spark, folder):
 
 
 def pool_and_history(spark, folder):
-    rows = materialized(one_score(spark, folder))
+    stored = stored_bars(spark, folder)
+    rows = materialized(one_score(spark, folder, stored))
     weeks = calendar.on_dates(rows, calendar.rebalance_dates(rows, 5))
-    history = portfolio.close_history(load_bars(spark, folder))
+    history = portfolio.close_history(stored)
     return materialized(portfolio.candidate_pool(weeks, history, on_short="skip")), history
 
 
 @query
 def eligible_rows(spark, folder):
-    history = portfolio.close_history(load_bars(spark, folder))
-    return shown(portfolio.eligible_rows(one_score(spark, folder), history), *KEYS, "pred_score", "seq")
+    stored = stored_bars(spark, folder)
+    history = portfolio.close_history(stored)
+    return shown(portfolio.eligible_rows(one_score(spark, folder, stored), history), *KEYS, "pred_score", "seq")
 
 
 @query
@@ -554,8 +563,9 @@ def portfolio_fallback(spark, folder):
 
 @query
 def portfolio_series(spark, folder):
+    stored = stored_bars(spark, folder)
     series = backtest.portfolio_series(
-        one_score(spark, folder), load_bars(spark, folder), variance_penalties=(0.25,), correlation_penalties=(0.1,),
+        one_score(spark, folder, stored), stored, variance_penalties=(0.25,), correlation_penalties=(0.1,),
         on_short="skip",
     )
     return shown(series)
@@ -563,18 +573,21 @@ def portfolio_series(spark, folder):
 
 @query
 def risk_grid(spark, folder):
-    return shown(backtest.parameter_grid(one_score(spark, folder), load_bars(spark, folder), on_short="skip"))
+    stored = stored_bars(spark, folder)
+    return shown(backtest.parameter_grid(one_score(spark, folder, stored), stored, on_short="skip"))
 
 
 @query
 def risk_choice(spark, folder):
-    board = backtest.parameter_grid(one_score(spark, folder), load_bars(spark, folder), on_short="skip")
+    stored = stored_bars(spark, folder)
+    board = backtest.parameter_grid(one_score(spark, folder, stored), stored, on_short="skip")
     return shown(backtest.select_risk_configuration(board))
 
 
 def fold_boards(spark, folder):
-    rows = scores.rank_ensemble(fold_scores(spark, folder), list(MODELS), EQUAL, group=("fold",))
-    return backtest.parameter_grid(rows, load_bars(spark, folder), by=("fold",), on_short="skip")
+    stored = stored_bars(spark, folder)
+    rows = scores.rank_ensemble(fold_scores(spark, folder, stored), list(MODELS), EQUAL, group=("fold",))
+    return backtest.parameter_grid(rows, stored, by=("fold",), on_short="skip")
 
 
 @query
@@ -708,7 +721,7 @@ MODEL_FEATURES = ["price_to_ma_20", "close_return_5", "volume_ratio_20", "volati
 def training_rows(spark, folder):
     from panelwright.plans.panels import ranking_panel as build
 
-    return materialized(build(load_bars(spark, folder), MODEL_FEATURES))
+    return materialized(build(stored_bars(spark, folder), MODEL_FEATURES))
 
 
 def scored_by(spark, folder, name: str) -> DataFrame:
