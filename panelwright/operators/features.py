@@ -16,9 +16,17 @@ from panelwright.config import DEFAULTS
 from panelwright.functions.keys import DATE, INSTRUMENT
 from panelwright.functions.numeric import col, ratio, simple_return, zero_filled
 from panelwright.operators.calendar import broadcast_dates
-from panelwright.operators.ordering import MAX_GROUP_ROWS, fits_one_task, fractional_ranks, value_counts
+from panelwright.operators.ordering import (
+    MAX_GROUP_ROWS,
+    fits_one_task,
+    fractional_ranks,
+    largest_groups,
+    value_counts,
+)
 
 RANK_SUFFIX = "_cs_rank"
+# More rows than a thousand years have dates: only copies of keys can get there.
+MAX_INSTRUMENT_ROWS = 400_000
 
 # Feature families, presets and the columns ranked per date.
 BASE = (
@@ -534,13 +542,14 @@ def build_features(
     if unknown:
         raise ValueError(f"features not available for these bars and windows: {unknown}")
 
+    largest = largest_groups(bars, [INSTRUMENT, DATE])
+    if largest[INSTRUMENT] > MAX_INSTRUMENT_ROWS:
+        raise ValueError("an instrument has more rows than dates: remove the copies of its keys first")
+    limit = None if max_group_rows is None or largest[DATE] <= max_group_rows else -1
     panel = instrument_features(
         bars, windows, correlations=any("_volume_corr_" in name for name in (*wanted, *sources))
     )
     needs_market = bool((set(wanted) | set(sources)) & {*MARKET, *EXCESS})
-    limit = max_group_rows
-    if needs_market or sources:
-        limit = None if fits_one_task(bars, [DATE], max_group_rows) else -1
     if needs_market:
         panel = excess_features(panel, market_state(panel, max_group_rows=limit))
     plain = [f for f in wanted if not f.endswith(RANK_SUFFIX)]

@@ -31,6 +31,15 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     return top["rows"] or 0
 
 
+def largest_groups(df: DataFrame, keys: Sequence[str]) -> dict[str, int]:
+    """Rows in the largest group of each key, all keys in one job."""
+    counts = df.groupingSets([[k] for k in keys], *keys).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.grouping(k).alias(f"_off_{k}") for k in keys]
+    )
+    top = counts.agg(*[F.max(F.when(F.col(f"_off_{k}") == 0, F.col("_rows"))).alias(k) for k in keys]).first()
+    return {k: top[k] or 0 for k in keys}
+
+
 def fits_one_task(df: DataFrame, group: Sequence[str], max_group_rows: int | None) -> bool:
     """Whether every group may be handled by one window task (None: known bounded)."""
     return max_group_rows is None or largest_group(df, group) <= max_group_rows

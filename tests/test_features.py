@@ -52,6 +52,13 @@ def test_unknown_names_fail(gappy_bars):
         features.preset_features(["open"], "market")
 
 
+def test_copies_of_keys_are_refused(gappy_bars, monkeypatch):
+    monkeypatch.setattr(features, "MAX_INSTRUMENT_ROWS", 30)
+    features.build_features(gappy_bars, ["close_return_1"])
+    with pytest.raises(ValueError, match="copies"):
+        features.build_features(gappy_bars.union(gappy_bars), ["close_return_1"])
+
+
 def test_everything_is_finite(full):
     names = features.preset_features([*full.columns], "full")
     assert np.isfinite(full[names].astype(float).to_numpy()).all()
