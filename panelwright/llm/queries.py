@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import quality
-from panelwright.llm.shared import documents
+from panelwright.llm import line_dedup, ngram_join, quality
+from panelwright.llm.shared import documents, sha256_hex
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -26,3 +26,34 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(quality.training_rows(docs, labels, "quality"))
     scored = quality.scored(docs, model)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those of keys in five documents or more dropped but in the last document."""
+    docs = documents(spark, sf_dir)
+    kept = line_dedup.cleaned(docs, line_dedup.built(docs, min_docs=5, min_chars=40))
+    return kept.select("doc_id", "n_lines", "n_dropped", sha256_hex(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
+LLM_ORACLE["op4_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, i, l, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM (SELECT doc_id, unnest(a) AS l, generate_subscripts(a, 1) AS i
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))
+), keys AS (
+    SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT doc_id, i, l, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM lines LEFT JOIN keys USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and link group of every document: distinct 4-word shingles, Jaccard 0.85 and more."""
+    return ngram_join.linked(documents(spark, sf_dir), width=4, percent=85)
