@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import line_dedup, ngram_join, quality
+from panelwright.llm import decontaminate, line_dedup, mixing, ngram_join, quality, token_counts, warc
 from panelwright.llm.shared import documents, sha256_hex
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,28 @@ FROM marked GROUP BY doc_id
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and link group of every document: distinct 4-word shingles, Jaccard 0.85 and more."""
     return ngram_join.linked(documents(spark, sf_dir), width=4, percent=85)
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that benchmark items leak into, as pairs, by slot-consistent template windows."""
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix of all sources takes, with the target of its source."""
+    return mixing.mixed_documents(documents(spark, sf_dir, "source"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, as the library counts them."""
+    return token_counts.counted(documents(spark, sf_dir), limit=2048)
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
