@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontaminate, line_dedup, mixing, ngram_join, quality, token_counts, warc
+from panelwright.llm import decontaminate, line_dedup, mixing, ngram_join, quality, spotsigs, token_counts, toxicity, warc
 from panelwright.llm.shared import documents, sha256_hex
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and grade of every document, by labels outside the held-out third."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.severities(docs, toxicity.fit_toxic(quality.training_rows(docs, labels, "toxic")))
+
+
+@query
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot fingerprints of every document and of its edited text, and their likeness."""
+    return spotsigs.compared(documents(spark, sf_dir))
