@@ -1,7 +1,8 @@
 """Document fingerprints by SpotSigs, from DataFrame functions alone.
 
 A spot is a common word (an anchor) together with the next ``CHAIN`` content words among the ``REACH`` words
-behind it; content words are all words that are no anchors. Words are runs of letters and digits in lower case. A
+behind it; content words are all words that are not common. Texts of tables, lists and junk have few common words, so one
+word in ``SAMPLED``, chosen by its hash, is an anchor as well. Words are runs of letters and digits in lower case. A
 fingerprint is the sorted set of the 32-bit hashes of a text's spots, written as decimal numbers. A text without
 spots takes its words in their place, one without words its whole text, an empty text nothing.
 
@@ -29,6 +30,7 @@ ANCHORS = (
     "al como con del el ella ellos era esta este fue ha hay las lo los mas muy no o para pero por se sin sobre su sus una uno y ya que"
 ).split()
 CHAIN = 2
+SAMPLED = 6
 REACH = 10
 BUCKET_ROWS = 500
 MOST_BUCKETS = 50_000
@@ -47,7 +49,7 @@ def spots(text: Column) -> Column:
         found = F.transform(
             all_words,
             lambda w, i: F.when(
-                w.isin(anchors), F.hash(w, F.slice(F.filter(F.slice(all_words, i + 2, REACH), lambda x: ~x.isin(anchors)), 1, CHAIN))
+                w.isin(anchors) | (F.pmod(F.hash(w), F.lit(SAMPLED)) == 0), F.hash(w, F.slice(F.filter(F.slice(all_words, i + 2, REACH), lambda x: ~x.isin(anchors)), 1, CHAIN))
             ),
         )
         return F.filter(found, lambda h: h.isNotNull())
