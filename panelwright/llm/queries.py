@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontaminate, line_dedup, mixing, ngram_join, quality, spotsigs, token_counts, toxicity, warc
+from panelwright.llm import decontaminate, line_dedup, mixing, ngram_join, quality, spotsigs, substring_dedup, token_counts, toxicity, warc
 from panelwright.llm.shared import documents, sha256_hex
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot fingerprints of every document and of its edited text, and their likeness."""
     return spotsigs.compared(documents(spark, sf_dir))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the bytes that strings of 200 bytes found elsewhere cover."""
+    kept = substring_dedup.deduplicated(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -49,7 +49,8 @@ def spots(text: Column) -> Column:
         found = F.transform(
             all_words,
             lambda w, i: F.when(
-                w.isin(anchors) | (F.pmod(F.hash(w), F.lit(SAMPLED)) == 0), F.hash(w, F.slice(F.filter(F.slice(all_words, i + 2, REACH), lambda x: ~x.isin(anchors)), 1, CHAIN))
+                w.isin(anchors) | (F.pmod(F.hash(w), F.lit(SAMPLED)) == 0),
+                F.hash(w, F.slice(F.filter(F.slice(all_words, i + 2, REACH), lambda x: ~x.isin(anchors)), 1, CHAIN)),
             ),
         )
         return F.filter(found, lambda h: h.isNotNull())
