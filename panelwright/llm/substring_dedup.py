@@ -101,7 +101,7 @@ def packed(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     order = np.argsort(key, kind="stable")
     rows, key = rows[order], key[order]
     edges = np.flatnonzero(np.diff(key, prepend=-1))
-    ends = [*edges[1:], len(key)]
+    ends = np.append(edges[1:], len(key))[: len(edges)]
     return key[edges], [b"".join(rows[n][a:b].tobytes() for n in rows.dtype.names) for a, b in zip(edges, ends, strict=True)]
 
 
@@ -145,7 +145,8 @@ def met_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         rows = unpacked(group.rows, ROW)
         rows = rows[np.argsort(rows["gram"], kind="stable")]
-        length = np.diff([*np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]])), len(rows)])
+        heads = np.flatnonzero(np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]])[: len(rows)])
+        length = np.diff([*heads, len(rows)])[: len(heads)]
         rows = rows[np.repeat(length > 1, length)]
         rows = rows[np.lexsort((rows["lead"], rows["span"], rows["region"], rows["gram"]))]
         gram = np.concatenate([[True], rows["gram"][1:] != rows["gram"][:-1]])[: len(rows)]
