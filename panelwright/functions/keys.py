@@ -35,10 +35,18 @@ def is_six_digit(c: str | Column) -> Column:
     return col(c).rlike("^[0-9]{6}$")
 
 
+DAY_PATTERN = "[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}"
+TIME_PATTERN = "[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?( ?(Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?"
+
+
 def parsed_date(c: str | Column) -> Column:
-    """Calendar date from a date, timestamp or text column; NULL if unreadable."""
+    """Calendar date from a date, timestamp or text column; NULL if unreadable.
+
+    Text must be a whole date or a whole timestamp: anything behind it makes it unreadable.
+    """
     c = col(c)
     text = F.trim(c.cast("string"))
+    text = F.when(text.rlike("^[0-9]{8}$") | text.rlike(f"^{DAY_PATTERN}({TIME_PATTERN})?$"), text)
     compact = F.when(
         text.rlike("^[0-9]{8}$"),
         F.concat_ws("-", text.substr(1, 4), text.substr(5, 2), text.substr(7, 2)),

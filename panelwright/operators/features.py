@@ -1,8 +1,7 @@
 """Rolling, path and cross-sectional features of a bar panel.
 
-Per-instrument windows are row-based. The panel key (instrument, date) is
-unique, so one instrument holds at most one row per calendar date and its
-window task stays small however many instruments there are. Everything per
+Per-instrument windows are row-based and short, so a history too long for one
+task is cut into slices that overlap by the rows a window looks back. Everything per
 date goes through ``ordering``, which splits dates too large for one task.
 """
 
@@ -20,13 +19,14 @@ from panelwright.operators.ordering import (
     MAX_GROUP_ROWS,
     fits_one_task,
     fractional_ranks,
+    in_slices,
     largest_groups,
     value_counts,
 )
 
 RANK_SUFFIX = "_cs_rank"
-# More rows than a thousand years have dates: only copies of keys can get there.
-MAX_INSTRUMENT_ROWS = 400_000
+# Rows before a window's first one that its features still look at.
+WARM_UP = 4
 
 # Feature families, presets and the columns ranked per date.
 BASE = (
@@ -56,6 +56,26 @@ RANKED = (
     "attention_gap_5", "positive_day_ratio_10", "win_loss_strength_10", "squeeze_breakout_10",
     "breakout_stability_20", "recovery_quality_20",
 )
+# The complete alpha preset, in its order.
+ALPHA_V1 = (
+    "intraday_return", "high_low_range", "close_to_high", "close_to_low", "price_position", "upper_shadow",
+    "lower_shadow", "open_gap_1", "close_return_1", "open_to_prev_close", "volume_return_1", "log_volume",
+    "close_to_vwap", "close_return_3", "volume_return_3", "return_mean_3", "price_to_ma_3", "volatility_3",
+    "volume_ratio_3", "high_breakout_3", "low_rebound_3", "range_position_3", "close_return_5",
+    "volume_return_5", "return_mean_5", "price_to_ma_5", "volatility_5", "volume_ratio_5", "high_breakout_5",
+    "low_rebound_5", "range_position_5", "close_return_10", "volume_return_10", "return_mean_10",
+    "price_to_ma_10", "volatility_10", "volume_ratio_10", "high_breakout_10", "low_rebound_10",
+    "range_position_10", "close_return_20", "volume_return_20", "return_mean_20", "price_to_ma_20",
+    "volatility_20", "volume_ratio_20", "high_breakout_20", "low_rebound_20", "range_position_20",
+    "open_volume_corr_10", "close_volume_corr_10", "vwap_volume_corr_10", "open_volume_corr_20",
+    "close_volume_corr_20", "vwap_volume_corr_20", "delta_price_to_ma_10_3", "close_return_1_cs_rank",
+    "intraday_return_cs_rank", "price_to_ma_5_cs_rank", "price_to_ma_20_cs_rank", "volume_ratio_5_cs_rank",
+    "volatility_10_cs_rank", "close_to_vwap_cs_rank", "delta_price_to_ma_10_3_cs_rank",
+    "open_volume_corr_20_cs_rank", "turnover_rate", "turnover_ratio_3", "turnover_ratio_5",
+    "turnover_ratio_10", "turnover_ratio_20", "turnover_rate_cs_rank", "log_amount", "amount_ratio_3",
+    "amount_ratio_5", "amount_ratio_10", "amount_ratio_20", "amplitude", "amplitude_cs_rank", "change_amount",
+    "pct_chg", "pct_chg_cs_rank",
+)
 PRESETS = {
     "baseline_v1": ("baseline_v1",),
     "alpha_v1": ("baseline_v1", "price_volume_alpha_v1"),
@@ -141,8 +161,8 @@ def preset_features(
 ) -> list[str]:
     """Ordered feature columns of a preset.
 
-    The complete alpha preset interleaves its two families: base shape, value to
-    VWAP, rolling block, correlations, ranks, then the optional-column features.
+    The alpha preset is its fixed list wherever the bars and windows give all of
+    it; other presets, and bars without the optional columns, follow the families.
     """
     preset = resolve_preset(preset)
     families = feature_families(bar_columns, windows)
@@ -150,21 +170,7 @@ def preset_features(
         if not families[family]:
             raise ValueError(f"preset {preset} needs an amount column and the windows 5 and 20")
     names = [name for family in PRESETS[preset] for name in families[family]]
-    complete = {"amount", "turnover_rate", "amplitude", "change_amount", "pct_chg"} <= set(bar_columns)
-    if preset == "alpha_v1" and complete and set(windows) == set(DEFAULTS.feature_windows):
-        alpha = set(families["price_volume_alpha_v1"])
-        ranks = [source + RANK_SUFFIX for source in RANKED]
-        split = families["baseline_v1"].index("close_return_1" + RANK_SUFFIX)
-        rest = families["baseline_v1"][split:]
-        names = [
-            *BASE,
-            "close_to_vwap",
-            *families["baseline_v1"][len(BASE) : split],
-            *[n for n in families["price_volume_alpha_v1"][1:] if n not in ranks],
-            *[r for r in ranks if r in rest or r in alpha],
-            *[n for n in rest if n not in ranks],
-        ]
-    return names
+    return list(ALPHA_V1) if preset == "alpha_v1" and set(ALPHA_V1) <= set(names) else names
 
 
 # --- per-instrument windows ----------------------------------------------
@@ -225,104 +231,6 @@ def one_step(bars: DataFrame) -> DataFrame:
     ).withColumn("close_to_vwap", ratio("close", "vwap_proxy") - 1.0)
 
 
-def _pairs(columns: Sequence[str]) -> dict[str, tuple[Column, Column]]:
-    """Price and volume per correlation, both NULL unless the pair is complete."""
-    prices = {"open": "open", "close": "close", "vwap": "vwap_proxy"}
-    return {
-        label: (F.when(F.col("volume").isNotNull(), F.col(p)), F.when(F.col(p).isNotNull(), F.col("volume")))
-        for label, p in prices.items()
-        if p in columns
-    }
-
-
-def _window_state(panel: DataFrame, rows: int, correlations: bool) -> Column:
-    """Counts, sums, extremes and moments of the last ``rows`` rows as one struct."""
-    w, r = _rolling(rows), F.col("close_return_1")
-    n = F.count(r).over(w)
-    fields = {
-        "rows": F.count(F.lit(1)).over(w),
-        "close": F.sum("close").over(w),
-        "volume": F.sum("volume").over(w),
-        "top": F.max("high").over(w),
-        "bottom": F.min("low").over(w),
-        "moved": F.sum(F.abs(r)).over(w),
-        "gained": F.sum(F.greatest(r, F.lit(0.0))).over(w),
-        "rising": F.sum(F.when(r > 0, 1.0).otherwise(0.0)).over(w),
-        "r_n": n,
-        "r_mean": F.avg(r).over(w),
-        "r_spread": F.var_pop(r).over(w) * n,
-    }
-    for name in ("amount", "turnover_rate"):
-        if name in panel.columns:
-            fields |= {name: F.sum(name).over(w), name + "_n": F.count(name).over(w)}
-    for label, (x, y) in _pairs(panel.columns).items() if correlations else ():
-        n = F.count(x).over(w)
-        fields |= {
-            label + "_n": n,
-            label + "_x": F.avg(x).over(w),
-            label + "_y": F.avg(y).over(w),
-            label + "_xx": F.var_pop(x).over(w) * n,
-            label + "_yy": F.var_pop(y).over(w) * n,
-            label + "_xy": F.covar_pop(x, y).over(w) * n,
-        }
-    return F.struct(*[c.alias(f) for f, c in fields.items()])
-
-
-def _merged_state(now: str, before: str, fields: Sequence[str]) -> Column:
-    """State of two adjacent windows from their states (pairwise moment update)."""
-
-    def zero(side: str, f: str) -> Column:
-        return F.coalesce(F.col(side)[f], F.lit(0))
-
-    def shift(group: str, axis: str) -> Column:
-        return zero(before, f"{group}_{axis}") - zero(now, f"{group}_{axis}")
-
-    moments = {f.removesuffix("_n") for f in fields if f == "r_n" or f.endswith("_n") and f.replace("_n", "_xy") in fields}
-    merged: dict[str, Column] = {}
-    for f in fields:
-        group, _, part = f.rpartition("_")
-        if f == "top":
-            merged[f] = F.greatest(F.col(now)[f], F.col(before)[f])
-        elif f == "bottom":
-            merged[f] = F.least(F.col(now)[f], F.col(before)[f])
-        elif group in moments and part != "n":
-            n1, n2 = zero(now, group + "_n"), zero(before, group + "_n")
-            if part in ("mean", "x", "y"):
-                merged[f] = zero(now, f) + F.coalesce(F.try_divide(shift(group, part) * n2, n1 + n2), F.lit(0.0))
-            else:
-                first, second = ("mean", "mean") if part == "spread" else (part[0], part[1])
-                product = shift(group, first) * shift(group, second) * n1 * n2
-                merged[f] = zero(now, f) + zero(before, f) + F.coalesce(F.try_divide(product, n1 + n2), F.lit(0.0))
-        else:
-            merged[f] = zero(now, f) + zero(before, f)
-    return F.struct(*[c.alias(f) for f, c in merged.items()])
-
-
-def _with_states(panel: DataFrame, windows: Sequence[int], correlations: bool) -> DataFrame:
-    """Adds ``_s<w>`` for every window.
-
-    A window twice as long as another one is put together from two of its states,
-    so 10 and 20 rows cost a lag each instead of 10 and 20 updates per row.
-    """
-    done: list[int] = []
-    for n in sorted(windows):
-        half = n // 2
-        if n % 2 == 0 and half in done:
-            fields = panel.schema[f"_s{half}"].dataType.fieldNames()
-            panel = panel.withColumn("_before", F.lag(f"_s{half}", half).over(_history()))
-            panel = panel.withColumn(f"_s{n}", _merged_state(f"_s{half}", "_before", fields)).drop("_before")
-        else:
-            feeds = correlations and any(n * 2**k in windows and n * 2**k in CORRELATION_WINDOWS for k in range(6))
-            panel = panel.withColumn(f"_s{n}", _window_state(panel, n, feeds))
-        done.append(n)
-    return panel
-
-
-def _spread(total: Column, n: Column) -> Column:
-    """Sample standard deviation from a sum of squared deviations."""
-    return F.when(n > 1, F.sqrt(F.try_divide(total, n - 1)))
-
-
 def rolling_features(panel: DataFrame, windows: Sequence[int] = DEFAULTS.feature_windows) -> DataFrame:
     """Levels, risk and path shape over the last w rows. Needs ``one_step``."""
     r = F.col("close_return_1")
@@ -515,7 +423,7 @@ def date_ranks(
     """Percentile rank of each source column within its date."""
     names = {s: s + RANK_SUFFIX for s in sources}
     fits = fits_one_task(panel, [DATE], max_group_rows)
-    return fractional_ranks(panel, [INSTRUMENT, DATE], [DATE], names, in_window=fits)
+    return fractional_ranks(panel, [DATE], names, in_window=fits)
 
 
 # --- the whole panel ------------------------------------------------------
@@ -528,9 +436,13 @@ def build_features(
     windows: Sequence[int] = DEFAULTS.feature_windows,
     keep: Sequence[str] | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    max_history_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Bars plus the wanted features, all finite (missing becomes 0).
 
+    Dates of more than max_group_rows and histories of more than max_history_rows are
+    split; None stands for a size known to fit, -1 for one known not to.
+
     ``features`` is a preset name or a list of feature names; ``keep`` lists the
     bar columns to carry along (default: all). Only what is asked for is computed.
     """
@@ -542,12 +454,13 @@ def build_features(
     if unknown:
         raise ValueError(f"features not available for these bars and windows: {unknown}")
 
-    largest = largest_groups(bars, [INSTRUMENT, DATE])
-    if largest[INSTRUMENT] > MAX_INSTRUMENT_ROWS:
-        raise ValueError("an instrument has more rows than dates: remove the copies of its keys first")
+    settled = max_history_rows is None and max_group_rows in (None, -1)
+    largest = {INSTRUMENT: 0, DATE: 0} if settled else largest_groups(bars, [INSTRUMENT, DATE])
     limit = None if max_group_rows is None or largest[DATE] <= max_group_rows else -1
-    panel = instrument_features(
-        bars, windows, correlations=any("_volume_corr_" in name for name in (*wanted, *sources))
+    correlations = any("_volume_corr_" in name for name in (*wanted, *sources))
+    panel = in_slices(
+        bars, max(windows) + WARM_UP, 0, lambda b: instrument_features(b, windows, correlations=correlations),
+        rows=max_history_rows, largest=largest[INSTRUMENT],
     )
     needs_market = bool((set(wanted) | set(sources)) & {*MARKET, *EXCESS})
     if needs_market:

@@ -10,7 +10,15 @@ from panelwright.config import DEFAULTS
 from panelwright.functions.keys import DATE, INSTRUMENT
 from panelwright.functions.numeric import clamp, ratio
 from panelwright.operators.calendar import broadcast_dates
-from panelwright.operators.ordering import MAX_GROUP_ROWS, fits_one_task, group_quantiles, positions
+from panelwright.operators.ordering import (
+    MAX_GROUP_ROWS,
+    fits_one_task,
+    group_quantiles,
+    in_slices,
+    join_groups,
+    largest_group,
+    positions,
+)
 
 
 def forward_returns(
@@ -18,15 +26,22 @@ def forward_returns(
     *,
     buy_offset: int = DEFAULTS.future_buy_offset,
     sell_offset: int = DEFAULTS.future_sell_offset,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
-    """Return from the open ``buy_offset`` rows ahead to the open ``sell_offset`` rows ahead."""
+    """Return from the open ``buy_offset`` rows ahead to the open ``sell_offset`` rows ahead.
+
+    With max_group_rows, histories longer than that are measured and cut into slices.
+    """
     w = Window.partitionBy(INSTRUMENT).orderBy(DATE)
-    return panel.withColumns(
-        {
-            "open_t_buy": F.lead("open", buy_offset).over(w),
-            "open_t_sell": F.lead("open", sell_offset).over(w),
-        }
-    ).withColumn("future_return", ratio("open_t_sell", "open_t_buy") - 1.0)
+
+    def ahead(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(
+            {"open_t_buy": F.lead("open", buy_offset).over(w), "open_t_sell": F.lead("open", sell_offset).over(w)}
+        )
+
+    largest = 0 if max_group_rows is None else largest_group(panel, [INSTRUMENT])
+    led = in_slices(panel, 0, max(buy_offset, sell_offset), ahead, rows=max_group_rows, largest=largest)
+    return led.withColumn("future_return", ratio("open_t_sell", "open_t_buy") - 1.0)
 
 
 def valid_samples(panel: DataFrame) -> DataFrame:
@@ -86,13 +101,9 @@ def _fraction_from_best(panel: DataFrame, value: str, max_group_rows: int | None
         return positions(panel, [DATE], order, "_place", in_window=True).withColumn(
             "_fraction", F.col("_place") / F.count(F.lit(1)).over(everything)
         )
-    keys = [INSTRUMENT, DATE]
-    placed = positions(panel.select(*keys, value), [DATE], order, "_place", in_window=False)
-    sizes = panel.groupBy(DATE).agg(F.count(F.lit(1)).alias("_size"))
-    fractions = placed.join(broadcast_dates(sizes), DATE).select(
-        *keys, "_place", (F.col("_place") / F.col("_size")).alias("_fraction")
-    )
-    return panel.join(fractions, keys)
+    placed = positions(panel, [DATE], order, "_place", in_window=False)
+    sizes = broadcast_dates(panel.groupBy(DATE).agg(F.count(F.lit(1)).alias("_size")))
+    return join_groups(placed, sizes, [DATE]).withColumn("_fraction", F.col("_place") / F.col("_size")).drop("_size")
 
 
 def relevance_labels(

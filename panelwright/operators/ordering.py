@@ -8,11 +8,12 @@ totals of the earlier slices are added. No group then sits in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.config import DEFAULTS
+from panelwright.functions.keys import DATE, INSTRUMENT
 from panelwright.functions.numeric import finite
 from panelwright.sources.storage import materialized
 
@@ -45,6 +46,15 @@ def fits_one_task(df: DataFrame, group: Sequence[str], max_group_rows: int | Non
     return max_group_rows is None or largest_group(df, group) <= max_group_rows
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys, as they do inside a window's group."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_total(
     df: DataFrame,
     group: Sequence[str],
@@ -79,9 +89,10 @@ def running_total(
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*before)
     return (
         sliced.withColumn(name, F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-        .join(offsets, keys)
-        .withColumn(name, F.col(name) + F.col("_offset"))
-        .drop("_slice", "_weight", "_offset")
+        .withColumn("_inside", F.col(name))
+        .transform(lambda rows: join_groups(rows, offsets, keys))
+        .withColumn(name, F.col("_inside") + F.col("_offset"))
+        .drop("_slice", "_weight", "_offset", "_inside")
     )
 
 
@@ -101,6 +112,29 @@ def positions(
     )
 
 
+def in_slices(
+    bars: DataFrame, back: int, ahead: int, compute: Callable[[DataFrame], DataFrame], *, rows: int | None, largest: int
+) -> DataFrame:
+    """``compute`` (windows by instrument and date) on histories of any length.
+
+    Histories of at most ``rows`` rows (``largest`` is the measured longest) go
+    through as they are. Longer ones are cut into slices of ``rows`` rows; each slice also
+    gets the ``back`` rows before it and the ``ahead`` rows behind it, which
+    ``compute`` sees and the result leaves out.
+    """
+    if rows is None or largest <= rows:
+        return compute(bars)
+    size = max(rows, back, ahead, 1)
+    placed = positions(bars, [INSTRUMENT], [F.col(DATE)], "_at", in_window=False)
+    own = F.floor((F.col("_at") - 1) / size)
+    within = F.pmod(F.col("_at") - 1, F.lit(size))
+    slices = F.array_compact(F.array(own, F.when(within >= size - back, own + 1), F.when((within < ahead) & (own > 0), own - 1)))
+    cut = placed.withColumn("_own", own).withColumn("_slice", F.explode(slices)).withColumn("_id", F.col(INSTRUMENT))
+    named = cut.withColumn(INSTRUMENT, F.concat_ws("|", F.hex(F.coalesce("_id", F.lit("")).cast("binary")), F.isnull("_id").cast("string"), "_slice"))
+    done = compute(named).where(F.col("_slice") == F.col("_own")).withColumn(INSTRUMENT, F.col("_id"))
+    return done.drop("_at", "_own", "_slice", "_id")
+
+
 def value_counts(
     df: DataFrame, group: Sequence[str], value: str, *, in_window: bool, descending: bool = False
 ) -> DataFrame:
@@ -112,7 +146,6 @@ def value_counts(
 
 def fractional_ranks(
     df: DataFrame,
-    key: Sequence[str],
     group: Sequence[str],
     values: dict[str, str],
     *,
@@ -121,7 +154,8 @@ def fractional_ranks(
 ) -> DataFrame:
     """Average-tie rank divided by the number of ranked rows, per group.
 
-    ``values`` maps value column to rank column; ``key`` identifies a row.
+    ``values`` maps value column to rank column. NULL group keys are a group of
+    their own, and copies of a row are ranked like any ties.
     missing="exclude" leaves NULL unranked and uncounted, missing="lowest" ranks
     NULL and non-finite values below everything else.
     """
@@ -133,7 +167,7 @@ def fractional_ranks(
             # One step per rank keeps only the finished rank for the next sort.
             df = df.withColumn(r, _window_rank(v, group, lowest))
         return df
-    return _distributed_ranks(df, key, group, values, lowest)
+    return _distributed_ranks(df, group, values, lowest)
 
 
 def _window_rank(value: str, group: Sequence[str], lowest: bool) -> Column:
@@ -148,11 +182,11 @@ def _window_rank(value: str, group: Sequence[str], lowest: bool) -> Column:
     return fraction if lowest else F.when(x.isNotNull(), fraction)
 
 
-def _distributed_ranks(
-    df: DataFrame, key: Sequence[str], group: Sequence[str], values: dict[str, str], lowest: bool
-) -> DataFrame:
+def _distributed_ranks(df: DataFrame, group: Sequence[str], values: dict[str, str], lowest: bool) -> DataFrame:
     group = list(group)
-    key = list(dict.fromkeys([*key, *group]))
+    # Rows get numbers of their own, stored with them, so copies of a key stay separate rows.
+    df = materialized(df.withColumn("_row", F.monotonically_increasing_id()))
+    key = ["_row", *group]
     names = list(values)
     pairs = F.array(
         *[
@@ -169,7 +203,7 @@ def _distributed_ranks(
     counts = materialized(value_counts(series, by_series, "_value", in_window=False))
     totals = counts.groupBy(*by_series).agg(F.sum("n").alias("_total"))
     ranked = materialized(
-        counts.join(totals, by_series).select(
+        join_groups(counts, totals, by_series).select(
             *by_series,
             "_value",
             "n",
@@ -183,11 +217,11 @@ def _distributed_ranks(
     on = [*by_series, "_value"]
     hot = F.broadcast(ranked.where(F.col("n") > limit).drop("n"))
     rare = ranked.where(F.col("n") <= limit).drop("n")
-    per_row = series.join(hot, on).unionByName(series.join(hot, on, "left_anti").join(rare, on))
-    wide = per_row.groupBy(*key).agg(
+    per_row = join_groups(series, hot, on).unionByName(join_groups(join_groups(series, hot, on, "left_anti"), rare, on))
+    wide = per_row.groupBy("_row").agg(
         *[F.max(F.when(F.col("_series") == i, F.col("_rank"))).alias(values[v]) for i, v in enumerate(names)]
     )
-    return df.join(wide, key, "left")
+    return df.join(wide, "_row", "left").drop("_row")
 
 
 def group_quantiles(
@@ -208,7 +242,7 @@ def group_quantiles(
     rows = rows.withColumn("_all", F.lit(0)) if whole else rows
     counts = materialized(value_counts(rows, group, value, in_window=False))
     totals = counts.groupBy(*group).agg((F.sum("n") - 1).alias("_last"))
-    placed = counts.join(totals, group)
+    placed = join_groups(counts, totals, group)
     first, after = F.col("before"), F.col("before") + F.col("n")
 
     def value_at(position: Column) -> Column:

@@ -229,7 +229,7 @@ def _with_risk_ranks(subsets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Average-tie percentile ranks per date; 0.5 where all subsets are alike."""
     # The groups hold the subsets of one pool: C(pool, k) rows whatever the data.
     names = {"variance": "variance_rank", "mean_correlation": "correlation_rank"}
-    ranked = fractional_ranks(subsets, keys, keys, names, in_window=True)
+    ranked = fractional_ranks(subsets, keys, names, in_window=True)
     first = Window.partitionBy(*keys).orderBy("places")
     whole = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 

@@ -261,6 +261,14 @@ def cs_rank(spark, folder):
     return shown(features.date_ranks(panel, sources), *KEYS, *[s + features.RANK_SUFFIX for s in sources])
 
 
+@query
+def cs_rank_split(spark, folder):
+    """The same ranks with every date cut into range slices."""
+    sources = ("close_return_1", "price_to_ma_20", "volatility_10", "open_volume_corr_20", "turnover_rate", "amplitude")
+    panel = features.instrument_features(load_bars(spark, folder)).select(*KEYS, *sources)
+    return shown(features.date_ranks(panel, sources, max_group_rows=0), *KEYS, *[s + features.RANK_SUFFIX for s in sources])
+
+
 @query
 def feature_panel(spark, folder):
     """The default preset: 81 features, all finite."""
@@ -316,6 +324,18 @@ def head_weight(spark, folder):
     return shown(weighted, *KEYS, "sample_weight")
 
 
+@query
+def relevance_label_split(spark, folder):
+    made = labels.relevance_labels(materialized(returns_panel(spark, folder)), max_group_rows=0)
+    return shown(made, *KEYS, "relevance_label")
+
+
+@query
+def head_weight_split(spark, folder):
+    weighted = labels.head_weights(materialized(returns_panel(spark, folder)), quantile=0.2, weight=3.0, max_group_rows=0)
+    return shown(weighted, *KEYS, "sample_weight")
+
+
 @query
 def date_group(spark, folder):
     return shown(calendar.with_date_group(returns_panel(spark, folder)), *KEYS, "qid")
@@ -437,6 +457,13 @@ def centred_rank(spark, folder):
     return shown(ranked, *KEYS, *[f"c_{m}" for m in MODELS])
 
 
+@query
+def centred_rank_split(spark, folder):
+    rows = materialized(scored_panel(spark, folder))
+    ranked = scores.centred_ranks(rows, {m: f"c_{m}" for m in MODELS}, max_group_rows=0)
+    return shown(ranked, *KEYS, *[f"c_{m}" for m in MODELS])
+
+
 @query
 def zscore_ensemble(spark, folder):
     return shown(scores.combine_scores(scored_panel(spark, folder), list(MODELS), "zscore_average_equal"), *KEYS, "pred_score")
@@ -483,6 +510,20 @@ def rank_ensemble(spark, folder):
     return shown(combined, *KEYS, "pred_score")
 
 
+@query
+def rank_ensemble_split(spark, folder):
+    weights = {"ranker_a": 0.5, "ranker_b": 0.3, "regressor": 0.2}
+    combined = scores.rank_ensemble(materialized(scored_panel(spark, folder)), list(MODELS), weights, max_group_rows=0)
+    return shown(combined, *KEYS, "pred_score")
+
+
+@query
+def alpha_preset_more_windows(spark, folder):
+    """The alpha preset with a 60-row window on top: still its fixed 81 features."""
+    panel = features.build_features(stored_bars(spark, folder), "alpha", windows=(3, 5, 10, 20, 60), keep=KEYS)
+    return shown(panel, wide=WIDE)
+
+
 @query
 def rank_ensemble_by_date(spark, folder):
     combined = scores.rank_ensemble(scored_panel(spark, folder), list(MODELS), EQUAL, group=(DATE,))
@@ -566,7 +607,7 @@ def portfolio_series(spark, folder):
     stored = stored_bars(spark, folder)
     series = backtest.portfolio_series(
         one_score(spark, folder, stored), stored, variance_penalties=(0.25,), correlation_penalties=(0.1,),
-        on_short="skip",
+        on_short="report",
     )
     return shown(series)
 
@@ -574,20 +615,20 @@ def portfolio_series(spark, folder):
 @query
 def risk_grid(spark, folder):
     stored = stored_bars(spark, folder)
-    return shown(backtest.parameter_grid(one_score(spark, folder, stored), stored, on_short="skip"))
+    return shown(backtest.parameter_grid(one_score(spark, folder, stored), stored, on_short="report"))
 
 
 @query
 def risk_choice(spark, folder):
     stored = stored_bars(spark, folder)
-    board = backtest.parameter_grid(one_score(spark, folder, stored), stored, on_short="skip")
+    board = backtest.parameter_grid(one_score(spark, folder, stored), stored, on_short="report")
     return shown(backtest.select_risk_configuration(board))
 
 
 def fold_boards(spark, folder):
     stored = stored_bars(spark, folder)
     rows = scores.rank_ensemble(fold_scores(spark, folder, stored), list(MODELS), EQUAL, group=("fold",))
-    return backtest.parameter_grid(rows, stored, by=("fold",), on_short="skip")
+    return backtest.parameter_grid(rows, stored, by=("fold",), on_short="report")
 
 
 @query
@@ -771,6 +812,6 @@ def inner_selection(spark, folder):
     config = replace(DEFAULTS, outer_folds=2, inner_folds=2, min_train_groups=200)
     rows = training_rows(spark, folder)
     chosen = choose(
-        rows, load_bars(spark, folder), MODEL_FEATURES, profiles=models.with_rounds(1), config=config, on_short="skip"
+        rows, load_bars(spark, folder), MODEL_FEATURES, profiles=models.with_rounds(1), config=config, on_short="report"
     )
     return chosen.weights.join(chosen.risk, "outer_fold")

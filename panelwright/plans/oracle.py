@@ -663,11 +663,15 @@ def series(chosen: str, base: str, by: str) -> str:
 
 cte("baseline", ("labelled",), "SELECT trade_date, avg(future_return) AS base FROM labelled GROUP BY 1")
 cte("light_series", ("light", "baseline"), series("light", "baseline USING (trade_date)", ""))
-oracle("portfolio_series", ("light_series",), f"""
+oracle("portfolio_series", ("light_series", "dates", "baseline"), f"""
     SELECT {d('trade_date')}, {r('variance_penalty')}, {r('correlation_penalty')}, array_to_string(list_sort(ids), ',') AS stock_ids,
       {r('ret', 'portfolio_return')}, {r('base', 'baseline_return')}, {r('excess', 'excess_return')},
       {r('variance', 'portfolio_variance')}, {r('mean_correlation')}, {r('objective', 'selection_score')},
-      {r('jac', 'jaccard_vs_previous')}, NULL::VARCHAR AS degraded_reason FROM light_series""")
+      {r('jac', 'jaccard_vs_previous')}, NULL::VARCHAR AS degraded_reason FROM light_series
+    UNION ALL
+    SELECT {d('trade_date')}, 0.25, 0.1, '', NULL, {r('base', 'baseline_return')}, NULL, NULL, NULL, NULL, NULL,
+      'too few eligible instruments' FROM dates JOIN baseline USING (trade_date)
+    WHERE i % 5 = 0 AND trade_date NOT IN (SELECT trade_date FROM light_series)""")
 cte("penalties", (), """
     SELECT v AS variance_penalty, c AS correlation_penalty FROM (SELECT unnest([0.0, 0.25, 0.5, 1.0])::DOUBLE AS v),
       (SELECT unnest([0.0, 0.1, 0.25, 0.5])::DOUBLE AS c)""")
@@ -697,8 +701,9 @@ cte("grid_choices", ("subsets", "penalties"), best("(SELECT * FROM subsets, pena
 cte("grid_series", ("grid_choices", "baseline"), series("grid_choices", "baseline USING (trade_date)", "variance_penalty, correlation_penalty"))
 cte("board", ("grid_series",), board("grid_series"))
 PENALTIES = ("variance_penalty", "correlation_penalty", "cvar_penalty")
-oracle("risk_grid", ("board",), f"""
-    SELECT {many(r, PENALTIES)}, {i('week_count')}, {many(r, STATS)}, {i('degraded_week_count')}, {r('robust_score')}, {i('rank')} FROM board""")
+oracle("risk_grid", ("board", "dates"), f"""
+    SELECT {many(r, PENALTIES)}, {i('week_count')}, {many(r, STATS)}, {i('degraded_week_count')}, {r('robust_score')}, {i('rank')},
+      (SELECT count(*) FROM dates WHERE i % 5 = 0) - week_count AS short_week_count FROM board""")
 CHOICE = ("round(robust_score, 12) DESC, mean DESC, cvar10 DESC, variance_penalty + correlation_penalty + cvar_penalty, "
           "variance_penalty, correlation_penalty, cvar_penalty")
 oracle("risk_choice", ("board",), f"""
@@ -817,3 +822,8 @@ cte("flawed", (), """
       CASE WHEN l_quantity > 1 THEN l_extendedprice END AS close, l_extendedprice * (1.05::DOUBLE - l_discount) AS high,
       l_extendedprice * (1.0::DOUBLE - l_tax) AS low, l_linestatus <> 'O' AS gap FROM lineitem""")
 oracle("quality_of_lines", ("flawed",), quality("flawed", 300))
+
+# The split paths have to give what the window paths give.
+for _name in ("cs_rank", "relevance_label", "head_weight", "centred_rank", "rank_ensemble"):
+    ORACLE[f"{_name}_split"] = ORACLE[_name]
+ORACLE["alpha_preset_more_windows"] = ORACLE["feature_panel"]

@@ -52,11 +52,17 @@ def test_unknown_names_fail(gappy_bars):
         features.preset_features(["open"], "market")
 
 
-def test_copies_of_keys_are_refused(gappy_bars, monkeypatch):
-    monkeypatch.setattr(features, "MAX_INSTRUMENT_ROWS", 30)
-    features.build_features(gappy_bars, ["close_return_1"])
-    with pytest.raises(ValueError, match="copies"):
-        features.build_features(gappy_bars.union(gappy_bars), ["close_return_1"])
+def test_copies_of_keys_do_not_stop_a_long_history(gappy_bars):
+    twice = gappy_bars.union(gappy_bars)
+    made = features.build_features(twice, ["close_return_1", "price_to_ma_5"], keep=["stock_id"], max_history_rows=30)
+    assert made.count() == twice.count()
+
+
+def test_alpha_preset_is_fixed_with_more_windows():
+    columns = ["open", "close", "high", "low", "volume", "amount", "amplitude", "change_amount", "pct_chg", "turnover_rate"]
+    wide = features.preset_features(columns, "alpha", (3, 5, 10, 20, 60))
+    assert wide == features.preset_features(columns, "alpha") and len(wide) == 81
+    assert len(features.preset_features(columns, "alpha", (5, 10, 20))) < 81
 
 
 def test_everything_is_finite(full):

@@ -20,6 +20,8 @@ def table(spark):
         for s in range(40 if d else 400):  # one hot date
             x = None if rng.random() < 0.1 else float(rng.choice([0.0, 0.0, 0.0, -0.0, rng.randint(-5, 5), rng.random()]))
             rows.append((f"{s:06d}", d, x, rng.random()))
+    # Copies of keys, a NULL date and NULL ids must rank alike on both paths.
+    rows += [rows[5], rows[5], rows[450], ("000001", None, 1.0, 0.4), (None, None, 2.0, 0.7), (None, 1, 3.0, 0.9), ("000001", None, None, 0.1)]
     return spark.createDataFrame(rows, "stock_id string, trade_date int, x double, y double").cache()
 
 
@@ -30,22 +32,22 @@ def rows(df, *columns):
 @pytest.mark.parametrize("missing", ["exclude", "lowest"])
 @pytest.mark.parametrize("group", [["trade_date"], []])
 def test_ranks_agree(table, missing, group):
-    args = (table, KEY, group, {"x": "rx", "y": "ry"})
+    args = (table, group, {"x": "rx", "y": "ry"})
     small = ordering.fractional_ranks(*args, missing=missing, in_window=True)
     large = ordering.fractional_ranks(*args, missing=missing, in_window=False)
     assert rows(small, *KEY, "rx", "ry") == rows(large, *KEY, "rx", "ry")
 
 
 def test_ranks_match_pandas(table):
-    ranked = ordering.fractional_ranks(table, KEY, ["trade_date"], {"x": "rx"}, in_window=True).toPandas()
-    expected = ranked.groupby("trade_date")["x"].rank(pct=True)
+    ranked = ordering.fractional_ranks(table, ["trade_date"], {"x": "rx"}, in_window=True).toPandas()
+    expected = ranked.groupby("trade_date", dropna=False)["x"].rank(pct=True)
     assert np.allclose(ranked["rx"].astype(float), expected, equal_nan=True)
 
 
 def test_hot_values_are_joined_by_broadcast(table, monkeypatch):
     monkeypatch.setattr(ordering, "HOT_VALUE_ROWS", 20)
     monkeypatch.setattr(ordering, "HOT_VALUES_MAX", 1_000_000)
-    args = (table, KEY, ["trade_date"], {"x": "rx"})
+    args = (table, ["trade_date"], {"x": "rx"})
     small = ordering.fractional_ranks(*args, in_window=True)
     assert rows(small, *KEY, "rx") == rows(ordering.fractional_ranks(*args, in_window=False), *KEY, "rx")
 
@@ -86,3 +88,23 @@ def test_market_state_of_large_dates(gappy_bars):
     panel = features.instrument_features(gappy_bars)
     small, large = market_state(panel), market_state(panel, max_group_rows=0)
     assert rows(small, *sorted(small.columns)) == rows(large, *sorted(small.columns))
+
+
+def test_copied_keys_and_null_dates_keep_their_rows(spark):
+    data = [("a", 1, 0.5), ("b", 1, 0.1), ("a", 1, 0.5), ("a", 1, -0.2), ("c", 1, 0.9), ("d", None, 0.3), ("e", None, 0.2), (None, 1, 0.0)]
+    panel = spark.createDataFrame(data, "stock_id string, trade_date int, future_return double")
+    found = []
+    for limit in (None, 0):
+        made = labels.relevance_labels(labels.head_weights(panel, quantile=0.3, weight=2.0, max_group_rows=limit), max_group_rows=limit)
+        found.append(rows(made, *KEY, "future_return", "relevance_label", "sample_weight"))
+    assert len(found[0]) == len(data) and found[0] == found[1]
+
+
+def test_long_histories_are_cut_into_overlapping_slices(gappy_bars):
+    wanted = ["price_to_ma_20", "volatility_10", "delta_price_to_ma_10_3", "open_volume_corr_20", "close_return_1_cs_rank"]
+    whole = features.build_features(gappy_bars, wanted, keep=KEY)
+    cut = features.build_features(gappy_bars, wanted, keep=KEY, max_history_rows=7)
+    assert rows(whole, *KEY, *wanted) == rows(cut, *KEY, *wanted)
+    labelled = [labels.forward_returns(gappy_bars, max_group_rows=n) for n in (None, 2, 9)]
+    first = rows(labelled[0], *KEY, "future_return", "open_t_buy")
+    assert all(rows(x, *KEY, "future_return", "open_t_buy") == first for x in labelled[1:])
