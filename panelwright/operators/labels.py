@@ -146,8 +146,9 @@ def group_weights(panel: DataFrame, group: Sequence[str] = ("qid",)) -> DataFram
 
 
 def _uniform(*parts: Column) -> Column:
-    """Uniform number in (0, 1) that depends only on the given values."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
+    """Uniform number in (0, 1) from the MD5 of the given values as text, so that other engines agree."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def keyed_normal(seed: int, name: str, keys: Sequence[str] = (INSTRUMENT, DATE)) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.config import DEFAULTS
+from panelwright.functions.checks import require
 from panelwright.functions.keys import DATE, INSTRUMENT
 from panelwright.functions.numeric import finite, simple_return
 from panelwright.operators.ordering import fractional_ranks
@@ -50,10 +51,11 @@ def candidate_pool(
     A date with fewer than k eligible rows is an error, or left out with
     on_short="skip".
     """
-    if pool < k or window < 2:
-        raise ValueError(f"candidate pool must be at least {k} and the covariance window at least two")
-    if on_short not in ("error", "skip"):
-        raise ValueError(f"on_short must be 'error' or 'skip': {on_short}")
+    require(
+        pool=(pool, pool >= k, f"{k} or more, the size of a portfolio"),
+        window=(window, window >= 2, "2 or more"),
+        on_short=(on_short, on_short in ("error", "skip"), "error or skip"),
+    )
     date = [*by, DATE]
     order = Window.partitionBy(*date).orderBy(F.col("pred_score").desc(), F.col(INSTRUMENT).asc())
     labels = ["future_return"] if "future_return" in scored.columns else []

@@ -367,7 +367,7 @@ def inference_panel(spark, folder):
 @query
 def feature_noise(spark, folder):
     rows = labelled(spark, folder, list(MODELS.values()))
-    return labels.noisy_features(rows, list(MODELS.values()), fraction=0.7)
+    return shown(labels.noisy_features(rows, list(MODELS.values()), fraction=0.7), *KEYS, *MODELS.values())
 
 
 @query
@@ -686,7 +686,7 @@ def backtest_gates(spark, folder):
 
 
 def latest_picks(spark, folder):
-    """The five most traded instruments of the last date with at least ten of them."""
+    """The five most traded instruments of the last date with at least eight of them."""
     panel = load_bars(spark, folder)
     busy = panel.groupBy(DATE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 8).agg(F.max(DATE).alias(DATE))
     day = panel.join(F.broadcast(busy), DATE)

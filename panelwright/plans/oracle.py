@@ -823,6 +823,25 @@ cte("flawed", (), """
       l_extendedprice * (1.0::DOUBLE - l_tax) AS low, l_linestatus <> 'O' AS gap FROM lineitem""")
 oracle("quality_of_lines", ("flawed",), quality("flawed", 300))
 
+
+
+def uniform(*parts: str) -> str:
+    text = "concat_ws('|', " + ", ".join(parts) + ")"
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+def noisy(c: str, name: str) -> str:
+    base = ("'42'", f"'{name}'", "stock_id", "strftime(trade_date, '%Y-%m-%d')")
+    normal = f"sqrt(-2.0::DOUBLE * ln({uniform(*base, repr('1'))})) * cos(6.283185307179586::DOUBLE * {uniform(*base, repr('2'))})"
+    spread = f"(coalesce(stddev_samp({c}) OVER (), 0) + 1e-12)"
+    choice = uniform("'42'", f"'{name}'")
+    return f"CASE WHEN {choice} < 0.7::DOUBLE THEN {c} + {normal} * 0.01::DOUBLE * {spread} ELSE {c} END"
+
+
+NOISED = {"price_to_ma_20": "ranker_a", "close_return_5": "ranker_b", "volume_ratio_20": "regressor"}
+oracle("feature_noise", ("labelled",), f"""
+    SELECT {KEYS}, {', '.join(r(noisy(c, name), name) for name, c in NOISED.items())} FROM labelled""")
+
 # The split paths have to give what the window paths give.
 for _name in ("cs_rank", "relevance_label", "head_weight", "centred_rank", "rank_ensemble"):
     ORACLE[f"{_name}_split"] = ORACLE[_name]

@@ -28,6 +28,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "turnover_rate": ("turnover_rate", "turnover", "换手率"),
 }
 REQUIRED = ("stock_id", "trade_date", "open", "close", "high", "low", "volume")
+# Columns of the constituent list and of the exchange feed.
 CONSTITUENT_COLUMNS = ("updateDate", "code", "code_name", "stock_id")
 EXCHANGE_FEED = ("date", "code", "open", "high", "low", "close", "volume", "amount", "turn", "pctChg")
 

@@ -25,7 +25,7 @@ def test_bad_parameters_fail(scored):
     for change in ({"fold_count": 0}, {"validation_ratio": 1.0}, {"min_train_groups": 0}, {"purge_groups": -1}):
         with pytest.raises(ValueError):
             splits.purged_walk_forward(scored(), **{**OPTIONS, **change})
-    with pytest.raises(PySparkException, match="insufficient dates"):
+    with pytest.raises(PySparkException, match="too short for one purged fold"):
         splits.purged_walk_forward(scored(), **{**OPTIONS, "min_train_groups": 100}).collect()
     with pytest.raises(PySparkException, match="too few dates"):
         splits.hold_out(scored(), validation_ratio=0.1, min_train_groups=40).collect()
