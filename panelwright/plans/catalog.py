@@ -754,6 +754,39 @@ def quality_of_lines(spark, folder):
     return shown(quality.quality_report(flawed, dt.date(2001, 10, 29)))
 
 
+# --- ranking objective -------------------------------------------------------
+
+
+def ranked_rows(spark, folder):
+    """(qid, id, relevance_label, score) of the labelled rows."""
+    rows = calendar.with_date_group(labels.relevance_labels(materialized(one_score(spark, folder))))
+    return materialized(rows.select("qid", "stock_id", "relevance_label", F.col("pred_score").alias("score")))
+
+
+@query
+def ranker_ideal_gain(spark, folder):
+    from panelwright.operators import models
+
+    return shown(models.ideal_gain(ranked_rows(spark, folder), 30), "qid", "ideal")
+
+
+@query
+def ranker_ndcg(spark, folder):
+    from panelwright.operators import models
+
+    return shown(models.ndcg(ranked_rows(spark, folder), 5))
+
+
+@query
+def ranker_gradients(spark, folder):
+    """Pull and curvature of the ranking loss on every row."""
+    from panelwright.operators import models
+
+    rows = ranked_rows(spark, folder)
+    found = models.rank_gradients(rows, models.ideal_gain(rows, 30), truncation=30)
+    return shown(found, "qid", "stock_id", "gradient", "curvature")
+
+
 # --- models (results depend on the tree library, so rows only) -------------
 
 MODEL_FEATURES = ["price_to_ma_20", "close_return_5", "volume_ratio_20", "volatility_10", "price_to_ma_20_cs_rank"]

@@ -825,6 +825,38 @@ oracle("quality_of_lines", ("flawed",), quality("flawed", 300))
 
 
 
+cte("rank_rows", ("labelled", "weighted"), """
+    SELECT w.qid, l.stock_id, w.relevance_label AS label, l.pred_score AS score, pow(2.0::DOUBLE, w.relevance_label) - 1 AS gain
+    FROM labelled l JOIN weighted w USING (stock_id, trade_date)""")
+
+
+def ideal(k: int) -> str:
+    return f"""SELECT qid, sum(gain / log2(p + 1)) AS ideal FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY label DESC, stock_id) AS p FROM rank_rows) WHERE p <= {k} GROUP BY qid"""
+
+
+cte("placed_rows", ("rank_rows",), "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, stock_id) AS place FROM rank_rows")
+cte("ideal30", ("rank_rows",), ideal(30))
+cte("ideal5", ("rank_rows",), ideal(5))
+oracle("ranker_ideal_gain", ("ideal30",), f"SELECT {i('qid')}, {r('ideal')} FROM ideal30")
+oracle("ranker_ndcg", ("placed_rows", "ideal5"), f"""
+    SELECT {r('avg(coalesce(reached / nullif(ideal, 0), 0))', 'ndcg')} FROM (
+      SELECT qid, sum(gain / log2(place + 1)) AS reached FROM placed_rows WHERE place <= 5 GROUP BY qid) JOIN ideal5 USING (qid)""")
+cte("rank_pairs", ("placed_rows", "ideal30"), """
+    SELECT qid, low, high, wins * doubt * change AS pull, doubt * (1 - doubt) * change AS bend FROM (
+      SELECT *, 1 / (1 + exp(wins * apart)) AS doubt FROM (
+        SELECT a.qid, a.stock_id AS low, b.stock_id AS high, a.score - b.score AS apart,
+          CASE WHEN a.label > b.label THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS wins,
+          abs(a.gain - b.gain) * abs(1 / log2(a.place + 1) - 1 / log2(b.place + 1)) / ideal AS change
+        FROM placed_rows a JOIN placed_rows b ON a.qid = b.qid AND b.place <= 30 AND b.place < a.place AND a.label <> b.label
+        JOIN ideal30 d ON d.qid = a.qid))""")
+oracle("ranker_gradients", ("placed_rows", "rank_pairs"), f"""
+    SELECT {i('qid')}, stock_id, {r('coalesce(sum(pull), 0)', 'gradient')}, {r('coalesce(sum(bend), 0)', 'curvature')}
+    FROM placed_rows LEFT JOIN (
+      SELECT qid, low AS stock_id, pull, bend FROM rank_pairs UNION ALL SELECT qid, high, -pull, bend FROM rank_pairs) USING (qid, stock_id)
+    GROUP BY qid, stock_id""")
+
+
 def uniform(*parts: str) -> str:
     text = "concat_ws('|', " + ", ".join(parts) + ")"
     return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
