@@ -38,7 +38,6 @@ GRAM = 32
 SEGMENT = 1 << 19
 BUCKET_ROWS = 400_000
 HOT = 20_000
-BROADCAST_BYTES = 32 << 20
 PLACE = np.uint64((1 << 22) - 1)
 
 ROW = np.dtype([("doc", np.int64), ("mark", np.int64), ("gram", np.uint64), ("region", np.uint64), ("first", np.int32), ("span", np.uint8), ("lead", np.uint8)])
@@ -287,13 +286,6 @@ def stretches(doc: np.ndarray, mark: np.ndarray, anchor: np.ndarray, start: np.n
 SPANS = "doc long, mark long, `from` long, `to` long"
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, size: str, how: str) -> DataFrame:
-    """docs joined with per-document lists, which are broadcast if their bytes, just summed, are few."""
-    total = lists.select(F.sum(F.expr(size) + 48)).first()[0] or 0
-    lists = F.broadcast(lists) if total <= BROADCAST_BYTES else lists
-    return docs.join(lists, ["doc", "mark"], how)
-
-
 def spans(docs: DataFrame, total_bytes: int, hot: int = HOT) -> DataFrame:
     """(doc, mark, from, to) of stretches to remove; they may overlap."""
     met = stored(met_anchors(docs, max(12, -(-total_bytes // (85 * BUCKET_ROWS)))))
@@ -318,7 +310,7 @@ def spans(docs: DataFrame, total_bytes: int, hot: int = HOT) -> DataFrame:
             )
 
     context = "gram long, doc long, mark long, first long, span long, lead long, fellows long, bytes binary"
-    around = _with_lists(keyed(docs).select("doc", "mark", "text"), lists, "40 * size(asked)", "inner").mapInArrow(cut, context)
+    around = keyed(docs).select("doc", "mark", "text").join(lists, ["doc", "mark"]).mapInArrow(cut, context)
 
     def sort(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("gram", kind="stable")
@@ -383,6 +375,6 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    rows = _with_lists(keyed(docs), stored(lists), "16 * size(spans)", "left")
+    rows = keyed(docs).join(stored(lists), ["doc", "mark"], "left")
     return rows.select("doc_id", "text", "spans").mapInArrow(remove, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 

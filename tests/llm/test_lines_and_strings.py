@@ -99,7 +99,6 @@ def test_strings_match_brute_force(docs, corpus, monkeypatch):
     assert sum(r[2] > 0 for r in want) > 10 and any(r[3] > 1 for r in want)
     assert found_strings(docs) == want
     assert found_strings(docs, hot=1) == want  # windows counted by digest
-    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(substring_dedup, "SEGMENT", 997)
     assert found_strings(docs) == want
 
