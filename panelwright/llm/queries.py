@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright.llm import decontaminate, line_dedup, mixing, ngram_join, quality, spotsigs, substring_dedup, token_counts, toxicity, warc
-from panelwright.llm.shared import documents, sha256_hex
+from panelwright.llm.shared import documents, importable, sha256_hex
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    LLM_QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return fn(spark, sf_dir)
+
+    LLM_QUERIES[fn.__name__] = run
+    return run
 
 
 @query
