@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwright.llm import decontaminate, line_dedup, mixing, ngram_join, quality
-from panelwright.llm.shared import stored
+from panelwright.llm.shared import importable, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,6 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written to the shared folder and read again."""
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
