@@ -15,6 +15,7 @@ from panelwright.config import DEFAULTS
 from panelwright.functions.checks import require
 from panelwright.functions.keys import DATE, INSTRUMENT
 from panelwright.functions.numeric import finite, simple_return
+from panelwright.operators.calendar import broadcast_dates
 from panelwright.operators.ordering import fractional_ranks
 from panelwright.operators.scores import all_close
 from panelwright.sources.storage import materialized
@@ -32,7 +33,9 @@ def close_history(bars: DataFrame) -> DataFrame:
 def eligible_rows(scored: DataFrame, history: DataFrame, window: int = DEFAULTS.covariance_window) -> DataFrame:
     """Scored rows whose instrument trades on the date and has window + 1 closes up to it."""
     valid = scored.where(F.col(INSTRUMENT).isNotNull() & F.col(DATE).isNotNull() & F.col("pred_score").isNotNull())
-    enough = history.where(F.col("seq") >= window + 1).select(INSTRUMENT, DATE, "seq")
+    # Only the scored dates can match, so the history is cut down to them before it is shuffled.
+    dates = broadcast_dates(valid.select(DATE).distinct())
+    enough = history.where(F.col("seq") >= window + 1).select(INSTRUMENT, DATE, "seq").join(dates, DATE, "left_semi")
     return valid.join(enough, [INSTRUMENT, DATE])
 
 
