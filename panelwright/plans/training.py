@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -231,14 +231,22 @@ def train(
     )
     robust = scores.robust_model_scores(metrics)
 
-    models = fit_models(panel, names, profiles=profiles, seed=config.seed)
-    models = {name: fitted for name, fitted in models.items() if name in production}
+    models = fit_models(panel, names, profiles=profiles, seed=config.seed, names=[n for n in MODEL_NAMES if n in production])
     metadata = production_metadata(
         features=names, weights={name: 1.0 / len(models) for name in models},
         method=SINGLE if len(models) == 1 else EQUAL_RANK, config=config,
+        preset=preset if isinstance(preset, str) else "list",
+        parameters={name: asdict(profiles[name]) for name in models},
     ) | {"training_data": data_stamp(bars)}
     reports = {
         "data_profile": profile(bars),
+        "training_summary": panel.agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_distinct(INSTRUMENT).alias("stock_count"),
+            F.count_distinct(DATE).alias("date_count"), F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"),
+        ).withColumn("feature_count", F.lit(len(names))),
+        "fold_dates": folds.groupBy("fold", "role").agg(
+            F.count(F.lit(1)).alias("date_count"), F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date")
+        ),
         "inner_metrics": inner.metrics,
         "inner_weights": inner.weights,
         "inner_risk": inner.risk,
