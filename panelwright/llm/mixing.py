@@ -1,6 +1,6 @@
 """Mixing sources to target weights: blocks of words, multinomial counts per shard, permuted indexes.
 
-The words of a source are packed into blocks of ``block_words``. Packing runs in chunks of some 20 000
+The words of a source are packed into blocks of ``block_words``. Packing runs in chunks of some 4000
 documents, dealt by a hash of doc_id, so a source that holds most rows is still many tasks; only the last
 block of a chunk can be short. A source is owed a number of slots by its target. The slots are dealt
 over the output shards by a multinomial draw for each source, seeded by its rank. A slot number, taken modulo
@@ -29,7 +29,7 @@ from panelwright.llm.shared import stored
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 4_000
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, MOST = 1.5, 2.0
 SEED = 1
@@ -143,7 +143,8 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -
     begin = F.greatest("start", F.col("local") * block_words)
     end = F.least(F.col("start") + F.col("size"), (F.col("local") + 1) * block_words)
     blocks = spans.select("sid", "chunk", "turn", (F.col("base") + F.col("local")).alias("block"), (begin - F.col("local") * block_words).alias("skip"), (end - begin).alias("words"))
-    pieces = taken.join(blocks, ["sid", "block"]).select(
+    # The slots come out of few rows of sources, which would pass for a small table: never broadcast them.
+    pieces = taken.hint("merge").join(blocks, ["sid", "block"]).select(
         "shard", "slot", "sid", "chunk", "turn", F.least("words", F.greatest(F.col("room") - F.col("skip"), F.lit(0))).alias("words")
     )
     return rows, sources, pieces.where("words > 0")
