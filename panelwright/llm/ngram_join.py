@@ -12,7 +12,7 @@ gram, one without words is empty and linked with nothing. Two documents link whe
    block of documents. Each list proposes only a star to its smallest document, not its pairs.
 3. Components of these stars hold every link. Within one, the full inverted index is searched for each
    document: lists are ordered by length, the L longest are set aside (DivideSkip), the short ones are merged,
-   and documents found T - L times are probed in the long ones by binary search. A document already
+   and documents found T - L times are probed in the long ones, by binary search or, in the longest, in a bitmap. A document already
    connected with the searching one is passed over, so a group of n near copies costs n links, not n squared.
    Components of more than ``TILE`` grams are cut into tiles, and each pair of tiles is one task.
 
@@ -37,11 +37,11 @@ from panelwright.llm.shared import stored
 BUCKET_GRAMS = 1_000_000
 PACK_GRAMS = 1_000_000
 TILE = 2_000_000
-BROADCAST_ROWS = 2_000_000
 HALVED = 128
 TOP = np.uint64(1 << 63)
 LONG_FACTOR = 0.0085
-PROBES = 16
+PROBES = 32
+DENSE = 16
 
 
 def sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -117,6 +117,8 @@ def star_links(docs: DataFrame, width: int, percent: int, grams: int) -> DataFra
             if not found:
                 continue
             doc, token, n, used = (np.concatenate(p) for p in zip(*found, strict=True))
+            if not len(doc):
+                continue
             bucket = (flat.mixed(token) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             doc, token, n, used, bucket = doc[order], token[order], n[order], used[order], bucket[order]
@@ -149,7 +151,7 @@ def star_links(docs: DataFrame, width: int, percent: int, grams: int) -> DataFra
         order = np.lexsort((rows["doc"], part))
         rows, part = rows[order], part[order]
         edges = np.flatnonzero(np.diff(part, prepend=-1))
-        return pd.DataFrame({"part": part[edges].astype(np.int32), "rows": [rows[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(part)], strict=True)]})
+        return pd.DataFrame({"part": part[edges].astype(np.int32), "rows": [rows[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(part))[: len(edges)], strict=True)]})
 
     def stars(group: pd.DataFrame) -> pd.DataFrame:
         """The first grams of each document, rarest first, and the stars that their lists propose."""
@@ -193,6 +195,13 @@ def search(ids: np.ndarray, sizes: np.ndarray, values: np.ndarray, percent: int)
     heads = np.cumsum(lengths) - lengths
     keys = lists * count + posted
     ends = np.cumsum(sizes)
+    # Very long lists are bitmaps as well, where a probe is one look: at most DENSE bytes for each posting.
+    dense = np.flatnonzero(lengths * DENSE >= max(count, 16 * DENSE))
+    bitmap_of = np.full(len(lengths), -1, np.int64)
+    bitmap_of[dense] = np.arange(len(dense))
+    bitmap = np.zeros((len(dense), count), bool)
+    inside = bitmap_of[lists] >= 0
+    bitmap[bitmap_of[lists[inside]], posted[inside]] = True
     root = np.arange(count)
     members: dict[int, list[int]] = {}
     links = []
@@ -217,14 +226,19 @@ def search(ids: np.ndarray, sizes: np.ndarray, values: np.ndarray, percent: int)
         spans = lengths[short]
         at = np.repeat(heads[short] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
         near, hits = np.unique(posted[at], return_counts=True)
-        keep = (hits >= need - aside) & (root[near] != root[x]) & (100 * sizes[near] >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes[near])
+        least = -(-percent * (sizes[near] + sizes[x]) // (100 + percent))  # the overlap that a link with each takes
+        keep = (near < x) & (hits >= least - len(long)) & (root[near] != root[x])
         near, hits = near[keep], hits[keep]
         order = np.argsort(-hits, kind="stable")
         near, hits = near[order], hits[order]
+        mapped, listed = bitmap_of[long], long[bitmap_of[long] < 0]
+        mapped = mapped[mapped >= 0]
         while len(near):
             now, got = near[:PROBES], hits[:PROBES].copy()
-            if len(long):
-                probe = (long[None, :] * count + now[:, None]).ravel()
+            if len(mapped):
+                got += bitmap[mapped[:, None], now[None, :]].sum(0)
+            if len(listed):
+                probe = (listed[None, :] * count + now[:, None]).ravel()
                 place = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
                 got += (keys[place] == probe).reshape(len(now), -1).sum(1)
             for y in now[100 * got >= percent * (sizes[x] + sizes[now] - got)]:
@@ -238,8 +252,6 @@ def search(ids: np.ndarray, sizes: np.ndarray, values: np.ndarray, percent: int)
 
 def verified_links(docs: DataFrame, members: DataFrame, width: int, percent: int, packs: int) -> DataFrame:
     """(a, b) forest of true links among members (node, tiles, block): documents that could link."""
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)  # its number of rows has just been checked
     wanted = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("node")).select("doc_id", "text", "block", "tiles")
 
     def packed(batches):

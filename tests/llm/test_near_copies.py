@@ -66,7 +66,6 @@ def test_tiles_and_shuffles_give_the_same(spark, families, monkeypatch):
     table = spark.createDataFrame(families, "doc_id long, text string").repartition(4)
     want = groups(families, 4, 85)
     monkeypatch.setattr(ngram_join, "TILE", 1000)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(ngram_join, "BUCKET_GRAMS", 500)
     assert found(table, 4, 85) == want
 
