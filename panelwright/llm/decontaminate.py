@@ -1,14 +1,18 @@
 """Benchmark decontamination by templates: re-parameterised questions are caught with the plain ones.
 
 A text is cut into words and marks are dropped. Numbers (digits or number words), names (words with a
-capital first letter) and units of measure become typed placeholders; every other word stays, A-Z
-lower-cased. Windows of ``WINDOW`` template words with at least ``PLAIN`` plain words among them are
-hash-joined between benchmark and documents. A bitmap of fixed size, made from all benchmark windows,
+capital first letter) and units of measure become typed placeholders; every other word stays, without case.
+Since a capital tells names apart only where others are lower case, a second template keeps names as words without
+case; so copies in upper, lower or title case are found, with numbers and units changed too, but not with
+names changed. Windows of ``WINDOW`` words with at least ``PLAIN`` plain words in either template are
+hash-joined by it between benchmark and documents. A bitmap of fixed size, made from all benchmark windows,
 sits in front of the join, so that only windows likely to match are shuffled; false bits cost rows, never results.
 
 Matches of one document and item at one shift are one alignment. Its slots have to be consistent: one
 benchmark value always stands for one document value, and the other way round; in an alignment that is not, only
-windows with unchanged slots count. An item leaks into a document if at least ``COVER`` of its windows count.
+windows with unchanged slots count. A window counts once, by whichever key it met. An item leaks into a document
+if at least ``COVER`` of its windows count: of those with enough plain words in the typed template, or of those with enough
+in either; the larger share is reported.
 Windows are hashed by 64 bits; the words of matching windows are compared again by their own hashes.
 
 Defined cases: null or empty texts match nothing; an item with fewer words than a window is one shorter window if
@@ -18,9 +22,12 @@ documents or items are reported alike; very long texts are whole; other columns
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.llm import flat
 from panelwright.llm.shared import stored
@@ -42,6 +49,9 @@ UNIT_WORDS = (
     "mph kph degree degrees percent watt watts volt volts joule joules newton newtons"
 ).split()
 
+# Kinds of window keys, and levels of windows.
+TYPED, FOLDED = 0, 1
+LEVELS = 2
 NUMBER, NAME, UNIT = (np.uint64(n) for n in (101, 103, 107))
 # Word bytes: letters, digits, and all bytes above 127; the rest separates.
 WORD = np.zeros(256, bool)
@@ -65,8 +75,19 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, slot value hash (0 in plain words), slot flag and document of each word."""
+class Words(NamedTuple):
+    """Every word of a block: its hash without case, both templates, which words are slots of either, its document."""
+
+    word: np.ndarray
+    typed: np.ndarray
+    folded: np.ndarray
+    slot: np.ndarray
+    hard: np.ndarray
+    doc: np.ndarray
+
+
+def _inside(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words; a numeral may hold points and commas."""
     inside = WORD[data]
     if len(data) > 2:
         digits = DIGIT[data] > 0
@@ -74,71 +95,106 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         at = offsets[(offsets > 0) & (offsets < len(data))]
         inside[at] &= WORD[data[at]]
         inside[at - 1] &= WORD[data[at - 1]]
-    starts, ends, doc = flat.runs(inside, offsets)
+    return inside
+
+
+def _folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block without case. Letters become letters, so that the words stay the same in number and order."""
+    if not len(data) or data.max() < 128:
+        return flat.LOWER[data], offsets
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    texts = pc.utf8_lower(pc.utf8_upper(pc.replace_substring(pc.replace_substring(texts, "\u1e9e", "ss"), "\u00df", "ss")))
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    return np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def templates(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of a block. Numbers and units are slots of both templates, names of the typed one alone."""
+    starts, ends, doc = flat.runs(_inside(data, offsets), offsets)
     if not len(starts):
-        none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, bool), doc
-    lower = flat.run_hashes(flat.LOWER[data], starts, ends)
-    exact = flat.run_hashes(data, starts, ends)
+        none, flags = np.zeros(0, np.uint64), np.zeros(0, bool)
+        return Words(none, none, none, flags, flags, doc)
+    small, bounds = _folded(data, offsets)
+    small_starts, small_ends, _ = flat.runs(_inside(small, bounds), bounds)
+    lower = flat.run_hashes(small, small_starts, small_ends)
     digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
     first = data[starts]
     second = data[np.minimum(starts + 1, len(data) - 1)]
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
     number = (digits[ends] > digits[starts]) | _among(lower, NUMBERS)
     unit = ~number & _among(lower, UNITS)
-    name = ~number & ~unit & capital
-    slot = number | unit | name
-    template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, lower)))
-    return template, np.where(slot, exact, np.uint64(0)), slot, doc
+    hard = number | unit
+    folded = np.where(number, NUMBER, np.where(unit, UNIT, lower))
+    return Words(lower, np.where(~hard & capital, NAME, folded), folded, hard | capital, hard, doc)
 
 
-def windows(template: np.ndarray, slot: np.ndarray, doc: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of each window with enough plain words; a short text is one window."""
-    counts = np.bincount(doc, minlength=documents)
+class Windows(NamedTuple):
+    """First word, length, level, kind and hash of each window and kind of key."""
+
+    first: np.ndarray
+    length: np.ndarray
+    level: np.ndarray
+    kind: np.ndarray
+    hash: np.ndarray
+
+
+def windows(text: Words, documents: int) -> Windows:
+    """The keys of each window with enough plain words; a short text is one window.
+
+    A window is of level 0 if it has enough plain words beside its names, numbers and units, else of level 1.
+    The typed key is left out where there is no name, because the folded one is the same there.
+    """
+    counts = np.bincount(text.doc, minlength=documents)
     ends = np.cumsum(counts)
-    first = np.arange(len(template))
-    length = np.minimum(WINDOW, counts[doc])
-    whole = first + length <= ends[doc]
-    plain = np.concatenate([[0], np.cumsum(~slot)])
+    first = np.arange(len(text.word))
+    length = np.minimum(WINDOW, counts[text.doc])
+    whole = first + length <= ends[text.doc]
     first, length = first[whole], length[whole]
-    first = first[plain[first + length] - plain[first] >= PLAIN]
-    length = np.minimum(WINDOW, counts[doc[first]])
-    out = length.astype(np.uint64)
-    for j in range(WINDOW):
-        live = length > j
-        out[live] = flat.mixed(out[live] * np.uint64(flat.BASE) + template[first[live] + j])
-    return first, out
+    inside = [np.concatenate([[0], np.cumsum(flags)]) for flags in (text.slot, text.hard)]
+    slots, hard = (total[first + length] - total[first] for total in inside)
+    level = np.where(length - slots >= PLAIN, 0, 1)
+    keys = {TYPED: (text.typed, (level == 0) & (slots > hard)), FOLDED: (text.folded, length - hard >= PLAIN)}
+    out = []
+    for kind, (template, some) in keys.items():
+        at, size = first[some], length[some]
+        value = (size + (WINDOW + 1) * kind).astype(np.uint64)
+        for j in range(WINDOW):
+            live = size > j
+            value[live] = flat.mixed(value[live] * np.uint64(flat.BASE) + template[at[live] + j])
+        out.append(Windows(at, size, level[some], np.full(len(at), kind), value))
+    return Windows(*(np.concatenate(part) for part in zip(*out, strict=True)))
 
 
-FIELDS = "window long, place int, words array<long>, slots array<long>"
+FIELDS = "window long, place int, level int, words array<long>, slots array<long>"
 
 
-def _window_rows(texts: pa.Array, keep) -> tuple[list, list, list, list, list]:
-    """Row, hash, word position, template words and slot values of the windows that keep(hashes) lets pass."""
-    owner, hashes, places, words, slots = [], [], [], [], []
+def _window_rows(texts: pa.Array, keep) -> tuple[list, ...]:
+    """Row, hash, word position, level, template words and slot values of the windows that keep(hashes) lets pass."""
+    owner, hashes, places, levels, words, slots = [], [], [], [], [], []
     for row, data, offsets in flat.blocks(texts):
         count = len(offsets) - 1
-        template, value, slot, doc = templates(data, offsets)
-        if not len(template):
+        text = templates(data, offsets)
+        if not len(text.word):
             continue
-        first, window = windows(template, slot, doc, count)
-        at = keep(window)
-        first, window = first[at], window[at]
-        counts = np.bincount(doc, minlength=count)
+        found = windows(text, count)
+        found = Windows(*(part[keep(found.hash)] for part in found))
+        counts = np.bincount(text.doc, minlength=count)
         heads = np.cumsum(counts) - counts
-        for f, w in zip(first.tolist(), window.view(np.int64).tolist(), strict=True):
-            d = doc[f]
-            end = f + min(WINDOW, int(counts[d]))
+        template = (text.typed, text.folded)
+        value = [np.where(flags, text.word, np.uint64(0)).view(np.int64) for flags in (text.slot, text.hard)]
+        for f, size, level, kind, w in zip(*(part.tolist() for part in found._replace(hash=found.hash.view(np.int64))), strict=True):
+            d = text.doc[f]
             owner.append(row + int(d))
             hashes.append(w)
             places.append(f - int(heads[d]))
-            words.append(template[f:end].view(np.int64))
-            slots.append(value[f:end].view(np.int64))
-    return owner, hashes, places, words, slots
+            levels.append(level)
+            words.append(template[kind][f : f + size].view(np.int64))
+            slots.append(value[kind][f : f + size])
+    return owner, hashes, places, levels, words, slots
 
 
 def window_table(rows: DataFrame, key: str, bitmap: np.ndarray | None = None) -> DataFrame:
-    """(key, window, place, words, slots) of each window of the text column, those outside the bitmap left out."""
+    """(key, window, place, level, words, slots) of each window of the text column, those outside the bitmap left out."""
     held = None if bitmap is None else rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def keep(window: np.ndarray) -> np.ndarray:
@@ -149,18 +205,23 @@ def window_table(rows: DataFrame, key: str, bitmap: np.ndarray | None = None) ->
     def cut(batches):
         for batch in batches:
             ids = batch.column(key)
-            owner, hashes, places, words, slots = _window_rows(batch.column("text"), keep)
+            owner, hashes, places, levels, words, slots = _window_rows(batch.column("text"), keep)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(owner, pa.int64())), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()),
+                    ids.take(pa.array(owner, pa.int64())), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(levels, pa.int32()),
                     pa.array(words, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.int64())),
                 ],
-                names=[key, "window", "place", "words", "slots"],
+                names=[key, "window", "place", "level", "words", "slots"],
             )
 
     return rows.select(key, "text").mapInArrow(cut, f"{key} long, {FIELDS}")
 
 
+def _up_to(level: int) -> Column:
+    """How many different windows of a level or a lower one there are."""
+    return F.count_distinct(F.when(F.col("level") <= level, F.struct("place", "level")))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """(doc_id, item_id, hits, windows, share): items that leak into documents, and how many of their windows.
 
@@ -171,20 +232,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
     bits = items.select(F.col("window").bitwiseAND(F.lit(BITS - 1)).alias("bit")).distinct()
     bitmap = np.zeros(BITS, bool)
     bitmap[[row.bit for row in bits.toLocalIterator()]] = True
-    reach = items.groupBy("item_id").agg(F.count_distinct("place").alias("windows"))
-    found = window_table(docs, "doc_id", bitmap).withColumnsRenamed({"place": "at", "words": "doc_words", "slots": "doc_slots"})
+    reach = items.groupBy("item_id").agg(*[_up_to(n).alias(f"windows_{n}") for n in range(LEVELS)])
+    found = window_table(docs, "doc_id", bitmap).drop("level").withColumnsRenamed({"place": "at", "words": "doc_words", "slots": "doc_slots"})
     met = found.join(items, "window").where("words = doc_words").drop("words", "doc_words")
     pairs = F.filter(F.arrays_zip("slots", "doc_slots"), lambda p: p["slots"] != 0)
+    window = F.struct("place", "level")
     aligned = met.withColumn("same", F.col("slots") == F.col("doc_slots")).groupBy(
         "doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")
     ).agg(
-        F.collect_set("place").alias("places"),
-        F.collect_set(F.when(F.col("same"), F.col("place"))).alias("verbatim"),
+        F.collect_set(window).alias("places"),
+        F.collect_set(F.when(F.col("same"), window)).alias("verbatim"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
     one_to_one = [F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs") for side in ("slots", "doc_slots")]
-    kept = aligned.select("doc_id", "item_id", F.when(one_to_one[0] & one_to_one[1], F.col("places")).otherwise(F.col("verbatim")).alias("places"))
-    best = kept.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("hits"))
+    kept = aligned.select("doc_id", "item_id", F.explode(F.when(one_to_one[0] & one_to_one[1], F.col("places")).otherwise(F.col("verbatim")))).select(
+        "doc_id", "item_id", "col.*"
+    )
+    best = kept.groupBy("doc_id", "item_id").agg(*[_up_to(n).alias(f"hits_{n}") for n in range(LEVELS)])
     reach = reach.withColumnRenamed("item_id", "item")
-    scored = best.join(reach, F.col("item_id").eqNullSafe(F.col("item"))).withColumn("share", F.col("hits") / F.col("windows"))
-    return scored.where(F.col("share") >= cover).select("doc_id", "item_id", "hits", "windows", "share")
+    shares = F.array_max(F.array(*[
+        F.struct(F.coalesce(F.try_divide(f"hits_{n}", f"windows_{n}"), F.lit(0.0)).alias("share"), F.col(f"windows_{n}").alias("windows"), F.col(f"hits_{n}").alias("hits"))
+        for n in range(LEVELS)
+    ]))
+    scored = best.join(reach, F.col("item_id").eqNullSafe(F.col("item"))).select("doc_id", "item_id", shares.alias("best"))
+    return scored.select("doc_id", "item_id", "best.hits", "best.windows", "best.share").where(F.col("share") >= cover)

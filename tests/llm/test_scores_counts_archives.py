@@ -233,3 +233,15 @@ def test_leaks_and_their_slots(spark):
     assert set(out) == {(10, 1), (11, 1), (18, 1), (19, 4)}
     assert out[10, 1] == 1.0 and out[11, 1] == 1.0
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_leaks_in_other_case(spark):
+    accents = "Élodie mißt die Größe der Bäume über den großen Straßen und zählt danach alle Äpfel im Garten"
+    bench = spark.createDataFrame([(1, QUESTION), (2, QUESTION.upper()), (3, accents)], "item_id long, text string")
+    texts = {
+        20: QUESTION.upper(), 21: QUESTION.lower(), 22: QUESTION.title(), 23: QUESTION.upper().replace("12", "77").replace("MILES", "KM"),
+        24: "Before it. " + QUESTION.title() + " and after", 25: accents.upper(), 26: accents.lower(), 27: sentence(random.Random(7), 400).upper(),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(docs, bench).collect()}
+    assert out == {(d, n): 1.0 for d in (20, 21, 22, 23, 24) for n in (1, 2)} | {(25, 3): 1.0, (26, 3): 1.0}
