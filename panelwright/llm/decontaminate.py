@@ -5,23 +5,25 @@ capital first letter) and units of measure become typed placeholders; every othe
 Since a capital tells names apart only where others are lower case, a second template keeps names as words without
 case; so copies in upper, lower or title case are found, with numbers and units changed too, but not with
 names changed. Windows of ``WINDOW`` words with at least ``PLAIN`` plain words in either template are
-hash-joined by it between benchmark and documents. A bitmap of fixed size, made from all benchmark windows,
+hash-joined by it between benchmark and documents; all others are joined by their exact words without case, so items
+made of numbers, names and units are found as verbatim copies. A bitmap of fixed size, made from all benchmark windows,
 sits in front of the join, so that only windows likely to match are shuffled; false bits cost rows, never results.
 
 Matches of one document and item at one shift are one alignment. Its slots have to be consistent: one
 benchmark value always stands for one document value, and the other way round; in an alignment that is not, only
 windows with unchanged slots count. A window counts once, by whichever key it met. An item leaks into a document
-if at least ``COVER`` of its windows count: of those with enough plain words in the typed template, or of those with enough
-in either; the larger share is reported.
+if at least ``COVER`` of its windows count: of those with enough plain words in the typed template, of those with enough
+in either, or of all; the largest share is reported.
 Windows are hashed by 64 bits; the words of matching windows are compared again by their own hashes.
 
-Defined cases: null or empty texts match nothing; an item with fewer words than a window is one shorter window if
-it has at least ``PLAIN`` plain words, and else can't be found; a null id is an ordinary value; repeated
+Defined cases: null or empty texts match nothing; an item with fewer words than a window is one shorter window, searched
+at every place of the documents, or, with fewer than ``PLAIN`` words, among documents of these words alone; a null id is an ordinary value; repeated
 documents or items are reported alike; very long texts are whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -50,8 +52,8 @@ UNIT_WORDS = (
 ).split()
 
 # Kinds of window keys, and levels of windows.
-TYPED, FOLDED = 0, 1
-LEVELS = 2
+TYPED, FOLDED, EXACT = 0, 1, 2
+LEVELS = 3
 NUMBER, NAME, UNIT = (np.uint64(n) for n in (101, 103, 107))
 # Word bytes: letters, digits, and all bytes above 127; the rest separates.
 WORD = np.zeros(256, bool)
@@ -138,37 +140,47 @@ class Windows(NamedTuple):
     hash: np.ndarray
 
 
-def windows(text: Words, documents: int) -> Windows:
-    """The keys of each window with enough plain words; a short text is one window.
+def windows(text: Words, documents: int, lengths: Sequence[int] | None = None) -> Windows:
+    """The keys of each window. Without lengths, a text shorter than a window is one window; else windows of these lengths are cut.
 
-    A window is of level 0 if it has enough plain words beside its names, numbers and units, else of level 1.
-    The typed key is left out where there is no name, because the folded one is the same there.
+    Level 0 has enough plain words beside names, numbers and units, level 1 beside numbers and units, level 2 has not.
+    The typed key is left out where there is no name, because the folded one is the same there; level 2 has the key of
+    its exact words. A window of less than PLAIN words has to be the whole text.
     """
     counts = np.bincount(text.doc, minlength=documents)
-    ends = np.cumsum(counts)
-    first = np.arange(len(text.word))
-    length = np.minimum(WINDOW, counts[text.doc])
-    whole = first + length <= ends[text.doc]
-    first, length = first[whole], length[whole]
+    left = np.cumsum(counts)[text.doc] - np.arange(len(text.doc))
     inside = [np.concatenate([[0], np.cumsum(flags)]) for flags in (text.slot, text.hard)]
-    slots, hard = (total[first + length] - total[first] for total in inside)
-    level = np.where(length - slots >= PLAIN, 0, 1)
-    keys = {TYPED: (text.typed, (level == 0) & (slots > hard)), FOLDED: (text.folded, length - hard >= PLAIN)}
     out = []
-    for kind, (template, some) in keys.items():
-        at, size = first[some], length[some]
-        value = (size + (WINDOW + 1) * kind).astype(np.uint64)
-        for j in range(WINDOW):
-            live = size > j
-            value[live] = flat.mixed(value[live] * np.uint64(flat.BASE) + template[at[live] + j])
-        out.append(Windows(at, size, level[some], np.full(len(at), kind), value))
+    for size in range(1, WINDOW + 1) if lengths is None else lengths:
+        whole = left >= size
+        if size < (WINDOW if lengths is None else PLAIN):
+            whole &= counts[text.doc] == size
+        first = np.flatnonzero(whole)
+        slots, hard = (total[first + size] - total[first] for total in inside)
+        level = np.where(size - slots >= PLAIN, 0, np.where(size - hard >= PLAIN, 1, 2))
+        keys = {TYPED: (text.typed, (level == 0) & (slots > hard)), FOLDED: (text.folded, level < 2), EXACT: (text.word, level == 2)}
+        for kind, (template, some) in keys.items():
+            at = first[some]
+            value = np.full(len(at), size + (WINDOW + 1) * kind, np.uint64)
+            for j in range(size):
+                value = flat.mixed(value * np.uint64(flat.BASE) + template[at + j])
+            out.append(Windows(at, np.full(len(at), size), level[some], np.full(len(at), kind), value))
     return Windows(*(np.concatenate(part) for part in zip(*out, strict=True)))
 
 
 FIELDS = "window long, place int, level int, words array<long>, slots array<long>"
 
 
-def _window_rows(texts: pa.Array, keep) -> tuple[list, ...]:
+def _once(found: Windows, doc: np.ndarray) -> np.ndarray:
+    """Which windows stay when exact ones, which need no alignment, are listed once a document."""
+    exact = np.flatnonzero(found.kind == EXACT)
+    order = exact[np.lexsort((found.hash[exact], doc[found.first[exact]]))]
+    stay = np.ones(len(found.first), bool)
+    stay[order[1:]] = (found.hash[order[1:]] != found.hash[order[:-1]]) | (doc[found.first[order[1:]]] != doc[found.first[order[:-1]]])
+    return stay
+
+
+def _window_rows(texts: pa.Array, keep, lengths: Sequence[int] | None) -> tuple[list, ...]:
     """Row, hash, word position, level, template words and slot values of the windows that keep(hashes) lets pass."""
     owner, hashes, places, levels, words, slots = [], [], [], [], [], []
     for row, data, offsets in flat.blocks(texts):
@@ -176,12 +188,16 @@ def _window_rows(texts: pa.Array, keep) -> tuple[list, ...]:
         text = templates(data, offsets)
         if not len(text.word):
             continue
-        found = windows(text, count)
-        found = Windows(*(part[keep(found.hash)] for part in found))
+        found = windows(text, count, lengths)
+        at = keep(found.hash)
+        found = Windows(*(part[at] for part in found))
+        if lengths is not None:
+            at = _once(found, text.doc)
+            found = Windows(*(part[at] for part in found))
         counts = np.bincount(text.doc, minlength=count)
         heads = np.cumsum(counts) - counts
-        template = (text.typed, text.folded)
-        value = [np.where(flags, text.word, np.uint64(0)).view(np.int64) for flags in (text.slot, text.hard)]
+        template = (text.typed, text.folded, text.word)
+        value = [np.where(flags, text.word, np.uint64(0)).view(np.int64) for flags in (text.slot, text.hard, False)]
         for f, size, level, kind, w in zip(*(part.tolist() for part in found._replace(hash=found.hash.view(np.int64))), strict=True):
             d = text.doc[f]
             owner.append(row + int(d))
@@ -193,7 +209,7 @@ def _window_rows(texts: pa.Array, keep) -> tuple[list, ...]:
     return owner, hashes, places, levels, words, slots
 
 
-def window_table(rows: DataFrame, key: str, bitmap: np.ndarray | None = None) -> DataFrame:
+def window_table(rows: DataFrame, key: str, bitmap: np.ndarray | None = None, lengths: Sequence[int] | None = None) -> DataFrame:
     """(key, window, place, level, words, slots) of each window of the text column, those outside the bitmap left out."""
     held = None if bitmap is None else rows.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -205,7 +221,7 @@ def window_table(rows: DataFrame, key: str, bitmap: np.ndarray | None = None) ->
     def cut(batches):
         for batch in batches:
             ids = batch.column(key)
-            owner, hashes, places, levels, words, slots = _window_rows(batch.column("text"), keep)
+            owner, hashes, places, levels, words, slots = _window_rows(batch.column("text"), keep, lengths)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(owner, pa.int64())), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(levels, pa.int32()),
@@ -232,8 +248,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
     bits = items.select(F.col("window").bitwiseAND(F.lit(BITS - 1)).alias("bit")).distinct()
     bitmap = np.zeros(BITS, bool)
     bitmap[[row.bit for row in bits.toLocalIterator()]] = True
+    lengths = sorted({WINDOW} | {row[0] for row in items.select(F.size("words")).distinct().collect()})  # WINDOW rows at most
     reach = items.groupBy("item_id").agg(*[_up_to(n).alias(f"windows_{n}") for n in range(LEVELS)])
-    found = window_table(docs, "doc_id", bitmap).drop("level").withColumnsRenamed({"place": "at", "words": "doc_words", "slots": "doc_slots"})
+    found = window_table(docs, "doc_id", bitmap, lengths).drop("level").withColumnsRenamed({"place": "at", "words": "doc_words", "slots": "doc_slots"})
     met = found.join(items, "window").where("words = doc_words").drop("words", "doc_words")
     pairs = F.filter(F.arrays_zip("slots", "doc_slots"), lambda p: p["slots"] != 0)
     window = F.struct("place", "level")

@@ -245,3 +245,19 @@ def test_leaks_in_other_case(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     out = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(docs, bench).collect()}
     assert out == {(d, n): 1.0 for d in (20, 21, 22, 23, 24) for n in (1, 2)} | {(25, 3): 1.0, (26, 3): 1.0}
+
+
+def test_leaks_of_items_dense_in_slots(spark):
+    sums = "Compute 12 + 7 * 3 - 4"
+    table = "Lisbon 1755 Messina 1908 Tokyo 1923 Agadir 1960 Skopje 1963 Managua 1972 Tangshan 1976 Kobe 1995"
+    bench = spark.createDataFrame([(1, sums), (2, table), (3, "0 " * 60), (4, "Anna Yes"), (5, "add 2 km")], "item_id long, text string")
+    rng = random.Random(8)
+    around = [sentence(rng, 40) for _ in range(8)]
+    texts = {
+        30: sums, 31: f"{around[0]} {sums.upper()} = ? {around[1]}", 32: f"{around[2]} {table} {around[3]}", 33: table.lower(),
+        34: f"{around[4]} {sums.replace('7', '8')}", 35: " ".join(table.split()[:5]) + around[5], 36: "0 " * 3000, 37: f"{around[6]} anna yes {around[7]}",
+        38: "ANNA, yes!", 39: "Add 2 km", 40: "add 3 km", 41: sums + " " + sums,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(docs, bench).collect()}
+    assert out == {k: 1.0 for k in [(30, 1), (31, 1), (32, 2), (33, 2), (36, 3), (38, 4), (39, 5), (41, 1)]}
