@@ -10,8 +10,8 @@ made of numbers, names and units are found as verbatim copies. A bitmap of fixed
 sits in front of the join, so that only windows likely to match are shuffled; false bits cost rows, never results.
 
 Matches of one document and item at one shift are one alignment. Its slots have to be consistent: one
-benchmark value always stands for one document value, and the other way round; in an alignment that is not, only
-windows with unchanged slots count. A window counts once, by whichever key it met. An item leaks into a document
+benchmark value always stands for one document value, while two may stand for the same one, as drawn values can be alike.
+A window with a benchmark value that has several document values counts only if all its slots are unchanged. A window counts once, by whichever key it met. An item leaks into a document
 if at least ``COVER`` of its windows count: of those with enough plain words in the typed template, of those with enough
 in either, or of all; the largest share is reported.
 Windows are hashed by 64 bits; the words of matching windows are compared again by their own hashes.
@@ -253,18 +253,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
     found = window_table(docs, "doc_id", bitmap, lengths).drop("level").withColumnsRenamed({"place": "at", "words": "doc_words", "slots": "doc_slots"})
     met = found.join(items, "window").where("words = doc_words").drop("words", "doc_words")
     pairs = F.filter(F.arrays_zip("slots", "doc_slots"), lambda p: p["slots"] != 0)
-    window = F.struct("place", "level")
-    aligned = met.withColumn("same", F.col("slots") == F.col("doc_slots")).groupBy(
-        "doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")
-    ).agg(
-        F.collect_set(window).alias("places"),
-        F.collect_set(F.when(F.col("same"), window)).alias("verbatim"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+    window = F.struct("place", "level", "slots", (F.col("slots") == F.col("doc_slots")).alias("same"))
+    aligned = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
+        F.collect_set(window).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(pairs)))).alias("pairs")
     )
-    one_to_one = [F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs") for side in ("slots", "doc_slots")]
-    kept = aligned.select("doc_id", "item_id", F.explode(F.when(one_to_one[0] & one_to_one[1], F.col("places")).otherwise(F.col("verbatim")))).select(
-        "doc_id", "item_id", "col.*"
+    # Different pairs of one benchmark value are neighbours in the sorted pairs.
+    clashes = F.aggregate(
+        "pairs",
+        F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<long>").alias("values")),
+        lambda a, p: F.struct(
+            p["slots"].alias("last"), F.when(p["slots"] == a["last"], F.array_append(a["values"], p["slots"])).otherwise(a["values"]).alias("values")
+        ),
+        lambda a: a["values"],
     )
+    kept = aligned.select("doc_id", "item_id", clashes.alias("clashes"), F.explode("found").alias("met")).select(
+        "doc_id", "item_id", "clashes", "met.*"
+    ).where(F.col("same") | ~F.arrays_overlap("slots", "clashes"))
     best = kept.groupBy("doc_id", "item_id").agg(*[_up_to(n).alias(f"hits_{n}") for n in range(LEVELS)])
     reach = reach.withColumnRenamed("item_id", "item")
     shares = F.array_max(F.array(*[

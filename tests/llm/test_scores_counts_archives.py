@@ -261,3 +261,19 @@ def test_leaks_of_items_dense_in_slots(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     out = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(docs, bench).collect()}
     assert out == {k: 1.0 for k in [(30, 1), (31, 1), (32, 2), (33, 2), (36, 3), (38, 4), (39, 5), (41, 1)]}
+
+
+def test_leaks_with_colliding_values(spark):
+    fruit = "the farmer sells 3 apples and also keeps 4 pears in the old shed before walking 9 miles or 2 km down the road to his house"
+    alike = fruit.replace("3", "5").replace("4", "5").replace("miles", "km").replace("9", "2")
+    # One benchmark value at both ends stands for two document values: only the windows that hold it go.
+    ends = "all 6 " + "of them went quietly along the narrow path and none of them ever looked back at the village below " + "with 6 others"
+    apart = ends.replace("all 6", "all 7").replace("with 6", "with 8")
+    every = "there were 6 of them and then 6 more and after that 6 again until the last 6 of them had left"
+    digits = iter("1234")
+    spread = "".join(next(digits) if c == "6" else c for c in every)
+    bench = spark.createDataFrame([(1, fruit), (2, ends), (3, every)], "item_id long, text string")
+    docs = spark.createDataFrame([(50, alike), (51, apart), (52, spread), (53, every.replace("6", "8"))], "doc_id long, text string")
+    out = {(r.doc_id, r.item_id): (r.hits, r.windows) for r in decontaminate.leaks(docs, bench).collect()}
+    size = {n: len(words(t)) - 7 for n, t in ((1, fruit), (2, ends), (3, every))}
+    assert out == {(50, 1): (size[1], size[1]), (51, 2): (size[2] - 4, size[2]), (53, 3): (size[3], size[3])}
