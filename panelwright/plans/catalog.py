@@ -848,3 +848,25 @@ def inner_selection(spark, folder):
         rows, load_bars(spark, folder), MODEL_FEATURES, profiles=models.with_rounds(1), config=config, on_short="report"
     )
     return chosen.weights.join(chosen.risk, "outer_fold")
+
+
+# --- the whole training and inference: all features, folds and rounds (hours; see the README) ---
+
+
+@query
+def training_run(spark, folder):
+    """Figures per outer fold and strategy of the default training: alpha features, 4 x 3 folds, full profiles."""
+    from panelwright.plans.training import train
+
+    return train(stored_bars(spark, folder), on_short="report").reports["strategies"]
+
+
+@query
+def inference_run(spark, folder):
+    """The picks of the latest date by the models of the default training."""
+    from panelwright.plans.inference import infer
+    from panelwright.plans.training import train
+
+    bars = stored_bars(spark, folder)
+    result = train(bars, on_short="report")
+    return infer(bars, result.models, result.metadata).picks
