@@ -7,7 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontaminate, line_dedup, mixing, ngram_join, quality, spotsigs, substring_dedup, token_counts, toxicity, warc
+from panelwright.llm import (
+    decontaminate, filter_audit, line_dedup, mixing, ngram_join, quality, spelling, spotsigs, substring_dedup, token_counts, toxicity,
+    vantage, warc,
+)
 from panelwright.llm.shared import documents, importable, sha256_hex
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +112,91 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the bytes that strings of 200 bytes found elsewhere cover."""
     kept = substring_dedup.deduplicated(documents(spark, sf_dir))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of largest cosine found for every vec_id divisible by 50, among all other rows."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return vantage.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the damaged texts with its near words, the form it varies and the root of that chain."""
+    return spelling.variants(spelling.counted(spelling.damaged_words(documents(spark, sf_dir))))
+
+
+LLM_ORACLE["op12_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, w, count(*) AS times
+    FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents)
+    GROUP BY ALL
+), hashed AS (
+    SELECT w, times, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(id || ':' || w, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c) - 64] END))),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h
+    FROM runs, crc
+), words AS (
+    SELECT word, sum(times)::BIGINT AS n FROM (
+        SELECT times, CASE WHEN h % 97 = 0 THEN w[1 : (h % length(w))::BIGINT] || w[(h % length(w))::BIGINT + 2 : length(w)] ELSE w END AS word FROM hashed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), cuts AS (
+    SELECT word, n, i, word[1 : i - 1] || word[i + 1 : length(word)] AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+    UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS form, max(n) AS form_n FROM near GROUP BY word
+), forms AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * w.n THEN b.form END AS form,
+        CASE WHEN b.form_n >= 2 * w.n THEN b.form_n END AS form_n FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+    SELECT word, word AS root, 0 AS step FROM forms
+    UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, (SELECT arg_max(c.root, c.step) FROM chain c WHERE c.word = f.word) AS root, f.n, f.n_near, f.form_n FROM forms f
+"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, for every language."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit(filter_audit.outcomes(documents(spark, sf_dir, "lang"), labels))
+
+
+LLM_ORACLE["op13_filter_audit"] = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+        + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS m
+    FROM texts JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)
+), counts AS (
+    SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM fails GROUP BY part, m
+), f(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e
+    WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b | b.b | c.b | d.b | e.b = 31
+), steps AS (
+    SELECT filter_order, s AS step, bits[s] AS b, coalesce(list_sum(bits[1 : s - 1]), 0)::INT AS before FROM orders, range(1, 6) r(s)
+), figures AS (
+    SELECT part, filter_order, step, b, sum(n) FILTER (m & (before | b) = 0) AS kept, sum(n) FILTER (m & b > 0 AND m & before = 0) AS removed,
+        sum(n) FILTER (m & b > 0 AND m & before > 0) AS redundant, sum(n) FILTER (m = b) AS unique_fails,
+        sum(good) FILTER (m & b > 0 AND m & before = 0) AS good_lost, sum(toxic) FILTER (m & b > 0 AND m & before = 0) AS toxic_lost
+    FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+    coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+    coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, b))::BIGINT AS shapley
+FROM figures
+"""
