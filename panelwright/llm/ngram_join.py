@@ -113,19 +113,20 @@ def star_links(docs: DataFrame, width: int, percent: int, grams: int) -> DataFra
                 ):
                     own = owner[keep]
                     used = np.bincount(own, minlength=len(sizes))
-                    found.append((ids[row + own], token[keep], n[keep], used[own]))
+                    found.append((row + own, token[keep], n[keep], used[own]))
             if not found:
                 continue
-            doc, token, n, used = (np.concatenate(p) for p in zip(*found, strict=True))
+            at, token, n, used = (np.concatenate(p) for p in zip(*found, strict=True))
+            doc = ids[at]
             if not len(doc):
                 continue
             bucket = (flat.mixed(token) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            doc, token, n, used, bucket = doc[order], token[order], n[order], used[order], bucket[order]
+            at, doc, token, n, used, bucket = at[order], doc[order], token[order], n[order], used[order], bucket[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
             rows = []
             for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
-                starts = np.flatnonzero((np.diff(doc[a:b], prepend=-1) != 0) | (np.diff((token[a:b] >> np.uint64(63)).astype(np.int8), prepend=-1) != 0))
+                starts = np.flatnonzero((np.diff(at[a:b], prepend=-1) != 0) | (np.diff((token[a:b] >> np.uint64(63)).astype(np.int8), prepend=-1) != 0))
                 heads = np.stack([doc[a:b][starts], np.diff([*starts, b - a]), n[a:b][starts], used[a:b][starts]])
                 rows.append((int(bucket[a]), heads.astype(np.int64).tobytes(), token[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays(

@@ -77,6 +77,21 @@ def test_null_ids_and_empty_tables(spark, no_docs):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(None, 3, None), (4, 3, 2), (2, 3, 2), (9, 0, 9), (10, 0, 10)}
 
 
+def test_repeated_ids_in_every_row_order(spark):
+    """A doc_id with two texts of unlike length keeps the links of both."""
+    rng = random.Random(21)
+    words = sentence(rng, 103).split(" ")
+    other = [f"u{n}" for n in range(103)]
+    rows = [(2, " ".join(other)), (2, " ".join(words[:23])), (1, " ".join([*words[:22], "changed"])), (2, " ".join(words[40:46]))]
+    from itertools import permutations
+
+    want = {d: min(r for e, _, r in groups(rows, 4, 85) if e == d) for d in (1, 2)}
+    assert want == {1: 1, 2: 1}
+    for order in permutations(rows):
+        table = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert {(r.doc_id, r.component_id) for r in ngram_join.linked(table).collect()} == {(1, 1), (2, 1)}
+
+
 def test_components_of_a_chain(spark):
     chain = list(range(200))
     random.Random(2).shuffle(chain)
