@@ -29,6 +29,7 @@ from panelwright.llm.shared import stored
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
+TASK_SHARDS = 32
 CHUNK_ROWS = 4_000
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, MOST = 1.5, 2.0
@@ -98,6 +99,8 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED)
         .withColumn("n_slots", F.col("full") + F.when(F.col("rest") > 0, 1).otherwise(0)).where("n_slots > 0")
     )
     shards = max(1, -(-(owed.agg(F.sum("n_slots")).first()[0] or 0) // SHARD_SLOTS))
+    # A number of tasks of its own: by the bytes of the draws one task would make the slots of all shards.
+    tasks = max(1, -(-shards // TASK_SHARDS))
 
     def draw(batches):
         for pdf in batches:
@@ -121,7 +124,7 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED)
                 )
 
     draws = owed.select("sid", "n_slots", "n_blocks", "full", "rest").mapInPandas(draw, "sid long, shard long, count long, first long, n_blocks long, full long, rest long")
-    return draws.repartition(F.col("shard")).mapInPandas(spread, "sid long, shard long, slot long, block long, room long")
+    return draws.repartition(tasks, "shard").mapInPandas(spread, "sid long, shard long, slot long, block long, room long")
 
 
 def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
