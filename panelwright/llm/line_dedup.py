@@ -9,8 +9,8 @@ filters, so any insertion can be undone. A key is the MD5 of the line without wh
 have none.
 
 Dropping lines: a filter hit only proposes a line; the join with ``refs`` decides, so false hits do
-no harm. Documents without a hit never move. Filters are broadcast only if all of them together
-are within ``FILTER_BYTES``; beyond that every key goes through the join.
+no harm. Filters of at most ``FILTER_BYTES`` in all are broadcast, and documents without a hit never move. Beyond
+that keys travel to the shard of their filter, each shard split as the most frequent line needs, and only hits go on to the join.
 
 Defined cases: a null or empty text is one empty line; rows that repeat a doc_id count as one document
 for the references and are each cleaned; rows with a null doc_id count together as one document and never hold
@@ -35,6 +35,7 @@ from panelwright.llm.shared import stored
 BLANKS = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 200_000
 FILTER_BYTES = 64 << 20
+PROBES = 500_000
 WAYS = 4
 KICKS = 500
 
@@ -242,6 +243,34 @@ def deleted(state: LineState, ids: DataFrame) -> LineState:
     return _changed(state, posts, stored(refs))
 
 
+def probed(keys: DataFrame, state: LineState) -> DataFrame:
+    """The (key, doc) rows whose key the filter of its shard does not rule out.
+
+    A group holds one part of a shard: about ``PROBES`` rows, also of a line that most documents have.
+    """
+    most, total = state.refs.agg(F.max("n_docs"), F.sum("n_docs")).first()
+    salts = max(1, -(-((most or 0) + (total or 0) // state.shards) // PROBES))
+    spread = with_shards(keys, state.shards).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    filters = state.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found = np.zeros(asked.num_rows, bool)
+        hashes = asked.column("hash").to_numpy().view(np.uint64)
+        for table in held.column("tables")[0].as_py() if held.num_rows else ():
+            found |= CuckooFilter(np.frombuffer(table, np.uint16)).contains(hashes)
+        return asked.select(["key", "doc"]).filter(pa.array(found))
+
+    by = ("shard", "salt")
+    return spread.groupBy(*by).cogroup(filters.groupBy(*by)).applyInArrow(probe, "key binary, doc long")
+
+
+def unused(stem: str, names: list[str]) -> str:
+    """A column name that no given one equals in any case."""
+    while stem.lower() in {n.lower() for n in names}:
+        stem += "_"
+    return stem
+
+
 def cleaned(docs: DataFrame, state: LineState) -> DataFrame:
     """docs with the dropped lines taken out of text, and n_lines (before) and n_dropped."""
     spark = docs.sparkSession
@@ -252,7 +281,8 @@ def cleaned(docs: DataFrame, state: LineState) -> DataFrame:
         tables = {r.shard: [np.frombuffer(t, np.uint16) for t in r.tables] for r in state.filters.collect()}
         held = spark.sparkContext.broadcast(tables)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs = docs.select(*names)
+    docs = docs.select(*[F.col(f"`{n}`") for n in names])
+    owner_name, drop_name = unused("_owner", names), unused("_drop", names)
     shards, min_chars = state.shards, state.min_chars
 
     def hits(texts: list[bytes]) -> list[list[bytes]]:
@@ -285,7 +315,7 @@ def cleaned(docs: DataFrame, state: LineState) -> DataFrame:
         for batch in batches:
             found = hits(raw_texts(batch.column("text")))
             owner = pa.array([n for n, own in enumerate(found) for _ in own], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([k for own in found for k in own], pa.binary()), batch.column("doc_id").take(owner)], names=["key", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for own in found for k in own], pa.binary()), batch.column("doc_id").take(owner)], names=["key", "doc"])
 
     def touched(batches):
         for batch in batches:
@@ -295,7 +325,7 @@ def cleaned(docs: DataFrame, state: LineState) -> DataFrame:
     def dropped(batches):
         for batch in batches:
             kept, total, gone = [], [], []
-            for text, drop in zip(raw_texts(batch.column("text")), batch.column("drop").to_pylist(), strict=True):
+            for text, drop in zip(raw_texts(batch.column("text")), batch.column(drop_name).to_pylist(), strict=True):
                 drop = set(drop or ())
                 lines = text.split(b"\n")
                 stay = [line for line, k in zip(lines, line_keys(text, min_chars), strict=True) if k is None or k not in drop]
@@ -308,9 +338,10 @@ def cleaned(docs: DataFrame, state: LineState) -> DataFrame:
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     counts = f"{plain}, n_lines long, n_dropped long"
     repeated = state.refs.where(F.col("n_docs") >= state.min_docs).select("key", "keeper")
+    proposals = docs.select("doc_id", "text").mapInArrow(proposed, "key binary, doc long")
     drops = (
-        docs.select("doc_id", "text").mapInArrow(proposed, "key binary, d long").join(repeated, "key")
-        .where(F.col("keeper").isNotNull() & ~F.col("d").eqNullSafe(F.col("keeper"))).groupBy("d").agg(F.collect_set("key").alias("drop"))
+        (proposals if small else probed(proposals, state)).join(repeated, "key")
+        .where(F.col("keeper").isNotNull() & ~F.col("doc").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc").alias(owner_name)).agg(F.collect_set("key").alias(drop_name))
     )
-    moved = docs.mapInArrow(touched, plain).join(drops, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
+    moved = docs.mapInArrow(touched, plain).join(drops, F.col("doc_id").eqNullSafe(F.col(owner_name)), "left").drop(owner_name)
     return docs.mapInArrow(untouched, counts).union(moved.mapInArrow(dropped, counts))

@@ -40,8 +40,23 @@ def test_lines_match_brute_force_on_both_ways(docs, corpus, monkeypatch):
     want = expected_lines(corpus)
     assert any(r[2] for r in want)
     assert found_lines(docs, state) == want
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)  # no broadcast: every key goes through the join
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)  # no broadcast: keys go to the shards of their filters
     assert found_lines(docs, state) == want
+    monkeypatch.setattr(line_dedup, "PROBES", 3)  # and each shard is split
+    assert found_lines(docs, state) == want
+
+
+def test_filters_are_on_the_way_at_any_size(spark, docs, monkeypatch):
+    state = line_dedup.built(docs)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    split = line_dedup.built(docs, min_docs=2)
+    for held in (state, split):
+        keys = held.refs.select("key", F.lit(4).cast("long").alias("doc"))
+        repeated = {bytes(r.key) for r in held.refs.where(F.col("n_docs") >= held.min_docs).collect()}
+        hits = {bytes(r.key) for r in line_dedup.probed(keys, held).collect()}
+        assert repeated <= hits and len(hits) < 0.2 * keys.count() + len(repeated)
+    assert split.shards > 1
+    assert line_dedup.probed(keys.limit(0), state).count() == 0
 
 
 def test_insert_and_delete_are_reversible(docs, corpus):
@@ -60,6 +75,12 @@ def test_empty_table_and_clashing_columns(no_docs, docs):
     named = docs.withColumn("n_lines", F.lit("x")).withColumn("key", F.lit(1))
     out = line_dedup.cleaned(named, line_dedup.built(named))
     assert out.where("n_lines >= 1 AND key = 1").count() == docs.count()
+    names = ["d", "drop", "k", "doc", "keeper", "_owner", "_DROP", "salt"]
+    clash = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    state = line_dedup.built(clash)
+    rows = line_dedup.cleaned(clash, state).select("doc_id", "text", *[F.col(f"`{n}`") for n in names]).collect()
+    assert {tuple(r[2:]) for r in rows} == {tuple(range(len(names)))}
+    assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in line_dedup.cleaned(docs, state).collect())
 
 
 def test_cuckoo_filter_keeps_what_it_holds():
