@@ -1,6 +1,7 @@
 """WARC archives compressed by Zstandard: one frame per record after a skippable frame with the dictionary.
 
-Writing: each task trains a dictionary on the first payloads it meets (bounded by ``SAMPLES``), puts it in a leading
+Writing: pages are dealt out so that an archive holds about ``ARCHIVE_BYTES`` of payload, however large the table or one group
+of equal payloads; Spark reads a file as one row, which must stay under 2 GB. Each task trains a dictionary on the first payloads it meets (bounded by ``SAMPLES``), puts it in a leading
 skippable frame (magic 0x184D2A5D) and adds one frame per record. Spark's text writer stores the
 frames as bytes, with an empty skippable frame as its line separator, so archives go to any file system Spark
 knows, under its own commit protocol. Equal payloads are found by SHA-1: the row of the largest page_id is a
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelwright.llm.shared import stored
 from panelwright.sources.storage import shared_folder
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -38,7 +40,7 @@ DICTIONARY_BYTES = 16 << 10
 SAMPLES, SAMPLE_BYTES = 200, 2 << 20
 LEVEL = 3
 FEED = 1 << 16
-SALTS = 16
+ARCHIVE_BYTES = 128 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NEEDED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "Content-Type", "Content-Length")
@@ -179,19 +181,29 @@ def archive_records(data: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def marked(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, and keeper: the page that a row of repeated payload refers to, or null."""
+def marked(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """page_id, url, html, and keeper: the page that a row of repeated payload refers to, or null.
+
+    Its partitions are the archives: their number follows from the bytes of all payloads, and the parts into which a
+    repeated payload is salted from the bytes of its copies.
+    """
     pages = pages.select(
-        "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha"),
-        F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha")
     )
-    repeated = pages.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("keeper")).where("n > 1")
-    salted = repeated.select("sha", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = pages.join(salted, ["sha", "salt"], "left")
+    size = F.octet_length("html").cast("long") + 512
+    groups = pages.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("keeper"), F.sum(size).alias("bytes"))
+    groups = stored(groups)
+    total, most = groups.agg(F.sum("bytes"), F.max("bytes")).first()
+    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = max(least, -(-int(total or 0) // archive_bytes))
+    salts = max(16, 4 * -(-int(most or 0) // archive_bytes))
+    salted = groups.where("n > 1").select("sha", "keeper", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    spread = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).repartition(files, "sha", "salt")
+    joined = spread.join(salted, ["sha", "salt"], "left")
     return joined.select("page_id", "url", "html", "keeper", (F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))).alias("revisit"))
 
 
-def written(pages: DataFrame, path: str) -> None:
+def written(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the pages as archives below path, one file a task."""
 
     def frames(batches):
@@ -206,7 +218,7 @@ def written(pages: DataFrame, path: str) -> None:
         for frame in archive_frames(records()):
             yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], names=["frame"])
 
-    out = marked(pages).mapInArrow(frames, "frame binary")
+    out = marked(pages, archive_bytes).mapInArrow(frames, "frame binary")
     out.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(path)
 
 
@@ -232,8 +244,8 @@ def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     return files.select("content").mapInArrow(rows, schema)
 
 
-def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:
+def round_trip(pages: DataFrame, payload: bool = False, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """The pages written to archives in the shared folder and read back."""
     path = f"{shared_folder(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    written(pages, path)
+    written(pages, path, archive_bytes)
     return read(pages.sparkSession, path, payload)
