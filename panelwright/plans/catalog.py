@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -787,25 +788,29 @@ def ranker_gradients(spark, folder):
     return shown(found, "qid", "stock_id", "gradient", "curvature")
 
 
-# --- models (results depend on the tree library, so rows only) -------------
+# --- models: all features, folds and rounds of the defaults; trees have no SQL, so tests check them ---------
 
-MODEL_FEATURES = ["price_to_ma_20", "close_return_5", "volume_ratio_20", "volatility_10", "price_to_ma_20_cs_rank"]
+TRAINING_FOLDS = {"min_train_groups": FOLDS["min_train_groups"]}
 
 
-def training_rows(spark, folder):
+def training_rows(spark, folder) -> tuple[DataFrame, list[str]]:
+    """The ranking panel of the default preset and its feature names."""
+    from panelwright.config import DEFAULTS
     from panelwright.plans.panels import ranking_panel as build
 
-    return materialized(build(stored_bars(spark, folder), MODEL_FEATURES))
+    bars = stored_bars(spark, folder)
+    names = features.preset_features(bars.columns, DEFAULTS.feature_preset, DEFAULTS.feature_windows)
+    return materialized(build(bars, names)), names
 
 
 def scored_by(spark, folder, name: str) -> DataFrame:
     """Fit on the training dates of the hold-out split and score its validation dates."""
     from panelwright.operators import models
 
-    rows = training_rows(spark, folder)
+    rows, names = training_rows(spark, folder)
     roles = splits.hold_out(rows, validation_ratio=0.1, min_train_groups=252)
     train = splits.with_folds(rows, roles, splits.TRAIN)
-    fitted = models.fit_models(train, MODEL_FEATURES, profiles=models.with_rounds(3), names=[name])
+    fitted = models.fit_models(train, names, names=[name])
     valid = splits.with_folds(rows, roles, splits.VALID)
     return models.predict_all(valid, fitted).select(*KEYS, "future_return", "relevance_label", "qid", name)
 
@@ -829,44 +834,47 @@ def ranker_b_scores(spark, folder):
 def feature_importance(spark, folder):
     from panelwright.operators import models
 
-    fitted = models.fit_ranker(training_rows(spark, folder), MODEL_FEATURES, profile=models.with_rounds(2)["ranker_a"])
-    return models.feature_importance(spark, fitted)
+    rows, names = training_rows(spark, folder)
+    return models.feature_importance(spark, models.fit_ranker(rows, names))
 
 
 @query
 def inner_selection(spark, folder):
-    """Weights chosen on nested folds (two outer, two inner) with short boosting."""
+    """Weights and penalties chosen on the nested folds: four outer, three inner."""
     from dataclasses import replace
 
     from panelwright.config import DEFAULTS
-    from panelwright.operators import models
     from panelwright.plans.training import inner_selection as choose
 
-    config = replace(DEFAULTS, outer_folds=2, inner_folds=2, min_train_groups=200)
-    rows = training_rows(spark, folder)
-    chosen = choose(
-        rows, load_bars(spark, folder), MODEL_FEATURES, profiles=models.with_rounds(1), config=config, on_short="report"
-    )
+    rows, names = training_rows(spark, folder)
+    chosen = choose(rows, load_bars(spark, folder), names, config=replace(DEFAULTS, **TRAINING_FOLDS), on_short="report")
     return chosen.weights.join(chosen.risk, "outer_fold")
 
 
-# --- the whole training and inference: all features, folds and rounds (hours; see the README) ---
-
-
 @query
 def training_run(spark, folder):
-    """Figures per outer fold and strategy of the default training: alpha features, 4 x 3 folds, full profiles."""
+    """Figures per outer fold and strategy of the whole training: default features, 4 x 3 folds, full profiles."""
+    from dataclasses import replace
+
+    from panelwright.config import DEFAULTS
     from panelwright.plans.training import train
 
-    return train(stored_bars(spark, folder), on_short="report").reports["strategies"]
+    config = replace(DEFAULTS, **TRAINING_FOLDS)
+    return train(stored_bars(spark, folder), config=config, on_short="report").reports["strategies"]
 
 
 @query
 def inference_run(spark, folder):
-    """The picks of the latest date by the models of the default training."""
+    """The picks of the latest date by the production model, fitted on all dates, saved and loaded again."""
+    from panelwright.operators import models
     from panelwright.plans.inference import infer
-    from panelwright.plans.training import train
+    from panelwright.sources import model_store
+    from panelwright.sources.storage import shared_folder
 
     bars = stored_bars(spark, folder)
-    result = train(bars, on_short="report")
-    return infer(bars, result.models, result.metadata).picks
+    rows, names = training_rows(spark, folder)
+    fitted = models.fit_models(rows, names, names=[models.RANKER_A])
+    metadata = model_store.production_metadata(features=names, weights={models.RANKER_A: 1.0}, method=model_store.SINGLE)
+    path = f"{shared_folder(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    model_store.save_models(spark, path, fitted, metadata)
+    return infer(bars, *model_store.load_models(spark, path)).picks

@@ -18,8 +18,9 @@ from panelwright.operators.models import (
     BoostProfile,
     Fitted,
     feature_importance,
-    fit_models,
-    predict_all,
+    fit_many,
+    model_fits,
+    predict_folds,
 )
 from panelwright.plans.panels import ranking_panel, require_samples
 from panelwright.sources.bars import profile
@@ -89,37 +90,75 @@ class Selection:
     leaderboard: DataFrame  # outer_fold, penalties, statistics, rank
 
 
-def fit_and_score(
-    panel: DataFrame,
-    folds: DataFrame,
-    names: Sequence[str],
-    *,
-    fold: Sequence[str],
-    profiles: dict[str, BoostProfile],
-    config: PanelConfig,
-) -> DataFrame:
-    """Validation rows of every fold with the scores of models fitted on its training rows.
+@dataclass(frozen=True)
+class Ranges:
+    """Training ranges under numbers: those of a fold table by their keys, and the whole panel."""
 
-    Each fit is a distributed MLlib job over the fold's rows; the loop runs over
-    folds, whose number is a parameter.
-    """
-    parts = []
-    carried = [*fold, DATE, INSTRUMENT, "future_return", *_overlay_columns(panel, config)]
-    for row in folds.select(*fold).distinct().orderBy(*fold).collect():  # one row per fold
-        here = folds
-        for name in fold:
-            here = here.where(F.col(name) == row[name])
-        train = splits.with_folds(panel, here, splits.TRAIN)
-        valid = splits.with_folds(panel, here, splits.VALID)
-        models = fit_models(train, names, profiles=profiles, seed=config.seed)
-        parts.append(materialized(predict_all(valid, models).select(*carried, *models)))
-    return _union(parts)
+    dates: DataFrame  # date, fold (the number)
+    numbers: dict[str, dict[tuple, int]]
+
+
+def training_ranges(panel: DataFrame, tables: dict[str, tuple[DataFrame, Sequence[str]]], *, whole: bool = False) -> Ranges:
+    """The training dates of every fold of the named tables, and of the whole panel, numbered from 0."""
+    spark, parts, numbers, count = panel.sparkSession, [], {}, 0
+    for name, (table, keys) in tables.items():
+        rows = table.select(*keys).distinct().orderBy(*keys).collect()  # one row per fold
+        numbers[name] = {tuple(r): count + n for n, r in enumerate(rows)}
+        named = spark.createDataFrame([(*k, n) for k, n in numbers[name].items()], ", ".join([*[f"{k} int" for k in keys], "_number int"]))
+        train = table.where(F.col("role") == splits.TRAIN)
+        parts.append(train.join(F.broadcast(named), list(keys)).select(DATE, F.col("_number").alias("fold")))
+        count += len(rows)
+    if whole:
+        numbers["whole"] = {(): count}
+        parts.append(panel.select(DATE).distinct().withColumn("fold", F.lit(count)))
+    return Ranges(materialized(_union(parts)), numbers)
+
+
+def fit_ranges(
+    panel: DataFrame, ranges: Ranges, names: Sequence[str], *, profiles: dict[str, BoostProfile], config: PanelConfig,
+    whole: Sequence[str] = MODEL_NAMES, state_folder: str | None = None,
+) -> dict[int, dict[str, Fitted]]:
+    """The models of every training range by its number; all fits advance together. ``whole`` names those of the whole panel."""
+    last = ranges.numbers.get("whole", {}).get(())
+    folds = sorted(n for held in ranges.numbers.values() for n in held.values() if n != last)
+    fits = model_fits(folds, profiles, config.seed)
+    if last is not None:
+        fits += model_fits([last], profiles, config.seed, whole)
+    made = fit_many(
+        panel, fits, names, folds=ranges.dates, noise_std=config.noise_std, noise_fraction=config.noise_fraction,
+        clip_quantile=config.target_clip_quantile, max_group_rows=config.max_group_rows, state_folder=state_folder,
+    )
+    out: dict[int, dict[str, Fitted]] = {}
+    for fit, fitted in zip(fits, made, strict=True):
+        out.setdefault(fit.fold, {})[fit.name] = fitted
+    return out
+
+
+def scored_folds(
+    panel: DataFrame, table: DataFrame, keys: Sequence[str], numbers: dict[tuple, int], models: dict[int, dict[str, Fitted]], config: PanelConfig
+) -> DataFrame:
+    """Validation rows of every fold of the table with the scores of the models fitted on its training rows, in one job."""
+    carried = [*keys, DATE, INSTRUMENT, "future_return", *_overlay_columns(panel, config)]
+    named = panel.sparkSession.createDataFrame([(*k, n) for k, n in numbers.items()], ", ".join([*[f"{k} int" for k in keys], "_number int"]))
+    valid = splits.with_folds(panel, table, splits.VALID).join(F.broadcast(named), list(keys))
+    by_name = {m: {n: models[n][m] for n in numbers.values()} for m in MODEL_NAMES}
+    return materialized(predict_folds(valid, by_name, F.col("_number")).select(*carried, *MODEL_NAMES))
 
 
 def _overlay_columns(panel: DataFrame, config: PanelConfig) -> list[str]:
     return [config.overlay_feature] if config.overlay_feature in panel.columns else []
 
 
+def nested_ranges(panel: DataFrame, config: PanelConfig) -> DataFrame:
+    return materialized(
+        splits.nested_folds(
+            panel, outer_folds=config.outer_folds, inner_folds=config.inner_folds,
+            validation_ratio=config.validation_ratio, min_train_groups=config.min_train_groups,
+            inner_min_train_groups=config.inner_min_train_groups, purge_groups=config.purge_groups,
+        )
+    )
+
+
 def inner_selection(
     panel: DataFrame,
     bars: DataFrame,
@@ -128,17 +167,20 @@ def inner_selection(
     profiles: dict[str, BoostProfile] = PROFILES,
     config: PanelConfig = DEFAULTS,
     on_short: str = "error",
+    nested: DataFrame | None = None,
+    rows: DataFrame | None = None,
+    state_folder: str | None = None,
 ) -> Selection:
-    """Model weights and risk penalties of every outer fold, chosen on its inner folds."""
-    nested = materialized(
-        splits.nested_folds(
-            panel, outer_folds=config.outer_folds, inner_folds=config.inner_folds,
-            validation_ratio=config.validation_ratio, min_train_groups=config.min_train_groups,
-            inner_min_train_groups=config.inner_min_train_groups, purge_groups=config.purge_groups,
-        )
-    )
+    """Model weights and risk penalties of every outer fold, chosen on its inner folds.
+
+    ``rows`` are the scored validation rows of the folds ``nested``; without them the models are fitted here.
+    """
     fold = ("outer_fold", "inner_fold")
-    rows = fit_and_score(panel, nested, names, fold=fold, profiles=profiles, config=config)
+    if rows is None:
+        nested = nested_ranges(panel, config)
+        ranges = training_ranges(panel, {"inner": (nested, fold)})
+        models = fit_ranges(panel, ranges, names, profiles=profiles, config=config, state_folder=state_folder)
+        rows = scored_folds(panel, nested, fold, ranges.numbers["inner"], models, config)
     metrics = materialized(
         backtest.model_metrics(rows, MODEL_NAMES, k=config.top_k, stride=config.rebalance_stride, by=fold)
     )
@@ -180,8 +222,12 @@ def train(
     production: Sequence[str] = (RANKER_A,),
     config: PanelConfig = DEFAULTS,
     on_short: str = "error",
+    state_folder: str | None = None,
 ) -> TrainingResult:
-    """The whole run: folds, inner choices, outer evaluation, summaries and the final models."""
+    """The whole run: folds, inner choices, outer evaluation, summaries and the final models.
+
+    All models of all folds are fitted together. With a state folder, a run that was stopped goes on where it was.
+    """
     if set(production) not in ({RANKER_A}, set(MODEL_NAMES)):
         raise ValueError(f"production models must be {RANKER_A} alone or all of {MODEL_NAMES}")
     names = (
@@ -198,15 +244,20 @@ def train(
         )
     )
     require_samples(panel, bars, config.future_sell_offset)
-    inner = inner_selection(panel, bars, names, profiles=profiles, config=config, on_short=on_short)
-
     folds = materialized(
         splits.purged_walk_forward(
             panel, fold_count=config.outer_folds, validation_ratio=config.validation_ratio,
             min_train_groups=config.min_train_groups, purge_groups=config.purge_groups,
         )
     )
-    rows = fit_and_score(panel, folds, names, fold=("fold",), profiles=profiles, config=config)
+    nested, fold = nested_ranges(panel, config), ("outer_fold", "inner_fold")
+    ranges = training_ranges(panel, {"inner": (nested, fold), "outer": (folds, ("fold",))}, whole=True)
+    fitted = fit_ranges(panel, ranges, names, profiles=profiles, config=config, whole=production, state_folder=state_folder)
+    inner = inner_selection(
+        panel, bars, names, profiles=profiles, config=config, on_short=on_short, nested=nested,
+        rows=scored_folds(panel, nested, fold, ranges.numbers["inner"], fitted, config),
+    )
+    rows = scored_folds(panel, folds, ("fold",), ranges.numbers["outer"], fitted, config)
     metrics = materialized(
         backtest.model_metrics(rows, MODEL_NAMES, k=config.top_k, stride=config.rebalance_stride, by=("fold",))
     )
@@ -231,7 +282,7 @@ def train(
     )
     robust = scores.robust_model_scores(metrics)
 
-    models = fit_models(panel, names, profiles=profiles, seed=config.seed, names=[n for n in MODEL_NAMES if n in production])
+    models = fitted[ranges.numbers["whole"][()]]
     metadata = production_metadata(
         features=names, weights={name: 1.0 / len(models) for name in models},
         method=SINGLE if len(models) == 1 else EQUAL_RANK, config=config,

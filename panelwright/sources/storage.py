@@ -33,6 +33,30 @@ def materialized(df: DataFrame) -> DataFrame:
     return table
 
 
+def kept_table(df: DataFrame, path: str) -> DataFrame:
+    """Rows written under a name of their own, so that a later session finds them; read back like ``materialized``."""
+    df.write.mode("overwrite").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._panel_path = path
+    return table
+
+
+def latest_table(spark: SparkSession, folder: str, schema) -> tuple[DataFrame, int] | None:
+    """The last complete table ``round-<number>`` in a folder, and its number; None if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(place):
+        return None
+    found = [str(f.getPath().toString()) for f in files.listStatus(place)]
+    done = [f for f in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))]
+    if not done:
+        return None
+    path = max(done, key=lambda f: int(f.rsplit("-", 1)[1]))
+    table = spark.read.schema(schema).parquet(path)
+    table._panel_path = path
+    return table, int(path.rsplit("-", 1)[1])
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialized`` wrote and that nothing will read any more."""
     for table in tables:
