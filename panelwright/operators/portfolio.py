@@ -21,6 +21,7 @@ from panelwright.operators.scores import all_close
 from panelwright.sources.storage import materialized
 
 FALLBACK = "covariance_fallback:insufficient common return history"
+SHORT = "too few eligible instruments"
 
 
 def close_history(bars: DataFrame) -> DataFrame:
@@ -76,6 +77,14 @@ def candidate_pool(
     return best.withColumn("candidates", F.when(short, F.raise_error(message).cast("int")).otherwise(F.col("candidates")))
 
 
+def with_short_dates(rows: DataFrame, dates: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """rows with a ``degraded_reason``, and one row of NULL figures for every date (of dates) that has none in rows."""
+    keys = [*by, DATE]
+    missing = dates.select(*keys).distinct().join(rows.select(*keys).distinct(), keys, "left_anti")
+    told = rows if "degraded_reason" in rows.columns else rows.withColumn("degraded_reason", F.lit(None).cast("string"))
+    return told.unionByName(missing.withColumn("degraded_reason", F.lit(SHORT)), allowMissingColumns=True)
+
+
 def candidate_returns(
     candidates: DataFrame,
     history: DataFrame,
@@ -86,8 +95,9 @@ def candidate_returns(
     """(by, date, place, day, daily_return): the last ``window`` returns on the pool's own dates.
 
     ``day`` counts back from the target date (1 = the target date itself).
-    Missing closes carry the last one forward, so their return is zero. Every
-    candidate has window + 1 closes, hence its last window + 1 rows cover the grid.
+    Missing closes carry the last one forward, so their return is zero, and so are returns before a candidate's
+    first close. The grid holds the dates of all candidates; if it has no window + 1 of them, there are fewer days. A
+    candidate's last window + 1 rows cover the grid, if it has that many.
     """
     rows = window + 1
     block = F.floor(F.col("seq") / rows)
@@ -105,14 +115,18 @@ def candidate_returns(
     grid = Window.partitionBy(*keys).orderBy(F.col("_day").desc())
     own = Window.partitionBy(*keys, "place").orderBy("_day")
     placed = held.select(*keys, "place", "_day", "close", F.dense_rank().over(grid).alias("_back"))
+    placed = placed.withColumn("_days", F.least(F.max("_back").over(Window.partitionBy(*keys)) - 1, F.lit(window)))
+    first = F.lag("_back").over(own).isNull()
     steps = placed.select(
         *keys,
         "place",
         "_back",
+        "_days",
+        F.when(first, F.greatest("_back", "_days")).otherwise(F.col("_back")).alias("_from"),
         F.coalesce(F.lead("_back").over(own) + 1, F.lit(1)).alias("_until"),
         simple_return(F.col("close"), F.lag("close").over(own)).alias("_moved"),
     )
-    days = steps.withColumn("day", F.explode(F.sequence("_until", "_back"))).where(F.col("day") <= window)
+    days = steps.withColumn("day", F.explode(F.sequence("_until", "_from"))).where(F.col("day") <= F.col("_days"))
     moved = F.when(F.col("day") == F.col("_back"), F.coalesce(finite("_moved"), F.lit(0.0))).otherwise(F.lit(0.0))
     return days.select(*keys, "place", "day", moved.alias("daily_return"))
 

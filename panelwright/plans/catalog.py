@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 KEYS = (INSTRUMENT, DATE)
+NUMBERS = ("open", "close", "high", "low", "volume", "amount", "amplitude", "change_amount", "pct_chg", "turnover_rate")
 WINDOWS = (3, 5, 10, 20)
 # Deterministic stand-ins for model scores, one per model.
 MODELS = {"ranker_a": "price_to_ma_20", "ranker_b": "close_return_5", "regressor": "volume_ratio_20"}
@@ -141,8 +142,14 @@ def derived_bar_fields(spark, folder):
 
 @query
 def union_histories(spark, folder):
-    all_bars = load_bars(spark, folder)
-    early, late = bar_source.split_by_dates(all_bars, ("1995-01-01", "1997-12-31"), ("1998-01-01", "2002-12-31"))
+    """Histories before and after the middle of the data's own range; the later ones lack a column."""
+    all_bars = stored_bars(spark, folder)
+    first, last = all_bars.agg(F.min(DATE), F.max(DATE)).first()
+    if first is None:
+        first = last = dt.date(2000, 1, 1)
+    middle = first + (last - first) // 2
+    after = middle + dt.timedelta(days=1)
+    early, late = bar_source.split_by_dates(all_bars, (first, middle), (after, max(after, last)))
     both = bar_source.union_histories([early, late.drop("amplitude")])
     return shown(
         both.groupBy(INSTRUMENT).agg(
@@ -170,7 +177,7 @@ def date_split(spark, folder):
 def fingerprint(spark, folder):
     from panelwright.sources.sinks import fingerprint as digest
 
-    return digest(load_bars(spark, folder))
+    return digest(load_bars(spark, folder).select(*KEYS, *NUMBERS), digits=9)
 
 
 # --- features -------------------------------------------------------------
@@ -544,12 +551,14 @@ def topk_picks(spark, folder):
     return shown(picks.equal_weight_picks(one_score(spark, folder), 3))
 
 
-def pool_and_history(spark, folder):
+def pool_and_history(spark, folder, window: int = 60):
+    """Pools of the dates with enough candidates, the closes, and all rebalance dates: the queries report the short ones."""
     stored = stored_bars(spark, folder)
     rows = materialized(one_score(spark, folder, stored))
-    weeks = calendar.on_dates(rows, calendar.rebalance_dates(rows, 5))
+    dates = materialized(calendar.rebalance_dates(rows, 5).select(DATE))
     history = portfolio.close_history(stored)
-    return materialized(portfolio.candidate_pool(weeks, history, on_short="skip")), history
+    pool = portfolio.candidate_pool(calendar.on_dates(rows, dates), history, window=window, on_short="skip")
+    return materialized(pool), history, dates
 
 
 @query
@@ -561,46 +570,46 @@ def eligible_rows(spark, folder):
 
 @query
 def candidate_pool(spark, folder):
-    pool, _ = pool_and_history(spark, folder)
-    return shown(pool, *KEYS, "pred_score", "place", "candidates")
+    pool, _, dates = pool_and_history(spark, folder)
+    return shown(portfolio.with_short_dates(pool, dates), *KEYS, "pred_score", "place", "candidates", "degraded_reason")
 
 
 @query
 def candidate_returns(spark, folder):
-    pool, history = pool_and_history(spark, folder)
-    return shown(portfolio.candidate_returns(pool, history))
+    pool, history, dates = pool_and_history(spark, folder)
+    return shown(portfolio.with_short_dates(materialized(portfolio.candidate_returns(pool, history)), dates))
 
 
 @query
 def ledoit_wolf(spark, folder):
-    pool, history = pool_and_history(spark, folder)
-    return shown(portfolio.shrunk_covariance(portfolio.candidate_returns(pool, history)))
+    pool, history, dates = pool_and_history(spark, folder)
+    covariances = materialized(portfolio.shrunk_covariance(portfolio.candidate_returns(pool, history)))
+    return shown(portfolio.with_short_dates(covariances, dates))
 
 
 @query
 def subset_search(spark, folder):
-    pool, history = pool_and_history(spark, folder)
+    pool, history, dates = pool_and_history(spark, folder)
     covariances = materialized(portfolio.shrunk_covariance(portfolio.candidate_returns(pool, history)))
-    return shown(portfolio.subset_statistics(pool, covariances))
+    return shown(portfolio.with_short_dates(materialized(portfolio.subset_statistics(pool, covariances)), dates))
 
 
 @query
 def portfolio_selection(spark, folder):
-    pool, history = pool_and_history(spark, folder)
+    pool, history, dates = pool_and_history(spark, folder)
     covariances = materialized(portfolio.shrunk_covariance(portfolio.candidate_returns(pool, history)))
     chosen = portfolio.select_portfolios(pool, covariances, variance_penalties=(0.5,), correlation_penalties=(0.25,))
-    return shown(portfolio.portfolio_picks(chosen))
+    return shown(portfolio.with_short_dates(materialized(portfolio.portfolio_picks(chosen)), dates))
 
 
 @query
 def portfolio_fallback(spark, folder):
-    """Dates before 1998 lose their covariances and fall back to the best five."""
-    pool, history = pool_and_history(spark, folder)
-    covariances = portfolio.shrunk_covariance(portfolio.candidate_returns(pool, history))
-    kept = materialized(covariances.where(F.col(DATE) >= F.lit(dt.date(1998, 1, 1))))
-    chosen = portfolio.select_portfolios(pool, kept, variance_penalties=(0.25,), correlation_penalties=(0.1,))
+    """Candidates need 21 closes, covariances 60 returns: the first dates with a pool fall back to the best five."""
+    pool, history, dates = pool_and_history(spark, folder, window=20)
+    covariances = materialized(portfolio.shrunk_covariance(portfolio.candidate_returns(pool, history)))
+    chosen = portfolio.select_portfolios(pool, covariances, variance_penalties=(0.25,), correlation_penalties=(0.1,))
     columns = (DATE, "stock_ids", "portfolio_variance", "selection_score", "degraded_reason")
-    return shown(chosen, *columns)
+    return shown(portfolio.with_short_dates(materialized(chosen), dates), *columns)
 
 
 @query

@@ -113,8 +113,19 @@ oracle("six_digit_ids", ("ids",), f"""
 oracle("derived_bar_fields", ("bars",), f"SELECT {KEYS}, {many(r, NUMBERS)} FROM bars")
 oracle("union_histories", ("bars",), f"""
     SELECT stock_id, {i('count(*)', 'bars')}, {d('min(trade_date)', 'first_date')}, {d('max(trade_date)', 'last_date')},
-      {i("count(amplitude) FILTER (trade_date <= DATE '1997-12-31')", 'amplitudes')}, {r('sum(close)', 'close_sum')}
-    FROM bars WHERE trade_date BETWEEN DATE '1995-01-01' AND DATE '2002-12-31' GROUP BY 1""")
+      {i("count(amplitude) FILTER (trade_date <= middle)", 'amplitudes')}, {r('sum(close)', 'close_sum')}
+    FROM bars, (SELECT min(trade_date)::DATE + ((max(trade_date)::DATE - min(trade_date)::DATE) // 2)::INT AS middle FROM bars) GROUP BY 1""")
+
+
+def canonical(c: str, kind: str = "number") -> str:
+    return f"coalesce({'printf(' + chr(39) + '%.9e' + chr(39) + ', ' + c + '::DOUBLE + 0.0)' if kind == 'number' else c}, '~')"
+
+
+oracle("fingerprint", ("bars",), f"""
+    SELECT row_count, sha256('stock_id,trade_date,{",".join(NUMBERS)}|' || row_count || '|' || total || '|' || parity) AS sha256 FROM (
+      SELECT count(*) AS row_count, sum(h) AS total, bit_xor(h) AS parity FROM (
+        SELECT ('0x' || md5({" || '|' || ".join([canonical('stock_id', 'text'), canonical("strftime(trade_date, '%Y-%m-%d')", 'text'), *map(canonical, NUMBERS)])})[1:15])::BIGINT AS h
+        FROM bars))""")
 oracle("profile", ("bars",), f"""
     SELECT {i('count(*)', 'row_count')}, {i('12', 'column_count')}, 'stock_id' AS stock_id_column,
       {i('count(DISTINCT stock_id)', 'unique_stock_count')}, 'trade_date' AS date_column FROM bars""")
@@ -544,7 +555,16 @@ def pool(source: str, by: str = "") -> str:
 
 cte("weeks", ("eligible", "dates"), "SELECT e.* FROM eligible e JOIN dates USING (trade_date) WHERE i % 5 = 0")
 cte("pool", ("weeks",), pool("weeks"))
-oracle("candidate_pool", ("pool",), f"SELECT {KEYS}, {r('pred_score')}, {i('place')}, {i('n', 'candidates')} FROM pool")
+cte("short", ("pool", "dates"), "SELECT trade_date FROM dates WHERE i % 5 = 0 AND trade_date NOT IN (SELECT trade_date FROM pool)")
+
+
+def and_short(columns: str, nulls: int, reason: str = "NULL::VARCHAR", short: str = "short", listed: bool = False) -> str:
+    """The rows with their reason, then one row of NULLs for each short date; columns stand after the date, a shown list first."""
+    return f"""SELECT {d('trade_date')}, {columns}, {reason} AS degraded_reason FROM {{}}
+      UNION ALL SELECT {d('trade_date')}, {(chr(39) * 2 + ', ') * listed}{'NULL, ' * (nulls - listed)}'too few eligible instruments' FROM {short}"""
+
+
+oracle("candidate_pool", ("pool", "short"), and_short(f"stock_id, {r('pred_score')}, {i('place')}, {i('n', 'candidates')}", 4).format("pool"))
 
 
 def grid_returns(source: str, by: str = "") -> str:
@@ -553,17 +573,17 @@ def grid_returns(source: str, by: str = "") -> str:
     k = f"{keys}trade_date"
     return f"""
     SELECT {k}, place, back AS day, coalesce(c / nullif(p, 0) - 1, 0) AS daily_return FROM (
-      SELECT {k}, place, back, c, lag(c) OVER (PARTITION BY {k}, place ORDER BY back DESC) AS p FROM (
-        SELECT {k}, place, back, last_value(close IGNORE NULLS) OVER (PARTITION BY {k}, place ORDER BY back DESC
+      SELECT {k}, place, back, days, c, lag(c) OVER (PARTITION BY {k}, place ORDER BY back DESC) AS p FROM (
+        SELECT {k}, place, back, days, last_value(close IGNORE NULLS) OVER (PARTITION BY {k}, place ORDER BY back DESC
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
         FROM (
           SELECT g.*, q.place, h.close FROM (
-            SELECT {k}, hd, row_number() OVER (PARTITION BY {k} ORDER BY hd DESC) AS back FROM (
+            SELECT {k}, hd, row_number() OVER (PARTITION BY {k} ORDER BY hd DESC) AS back, count(*) OVER (PARTITION BY {k}) AS days FROM (
               SELECT DISTINCT {', '.join('q.' + x.strip() for x in k.split(','))}, h.trade_date AS hd
               FROM {source} q JOIN history h ON h.stock_id = q.stock_id AND h.trade_date <= q.trade_date)) g
           JOIN {source} q USING ({k})
           LEFT JOIN history h ON h.stock_id = q.stock_id AND h.trade_date = g.hd)))
-    WHERE back <= 60"""
+    WHERE back <= 60 AND back < days"""
 
 
 def covariance(source: str, by: str = "") -> str:
@@ -582,15 +602,14 @@ def covariance(source: str, by: str = "") -> str:
                   SELECT *, sum(s) FILTER (i = j) OVER (PARTITION BY {k}) AS tr, sum(s * s) OVER (PARTITION BY {k}) AS dd,
                     max(i) OVER (PARTITION BY {k}) AS p, sum(f4) OVER (PARTITION BY {k}) AS fourth FROM (
                     SELECT {ka}, a.place AS i, b.place AS j, sum(a.x * b.x) / 60 AS s, sum(a.x * a.x * b.x * b.x) AS f4
-                    FROM x{source} a JOIN x{source} b USING ({k}, day) GROUP BY ALL))))))))"""
+                    FROM x{source} a JOIN x{source} b USING ({k}, day) GROUP BY ALL HAVING count(*) = 60))))))))"""
 
 
 cte("returns", ("pool", "history"), grid_returns("pool"))
-oracle("candidate_returns", ("returns",), f"SELECT {d('trade_date')}, {i('place')}, {i('day')}, {r('daily_return')} FROM returns")
+oracle("candidate_returns", ("returns", "short"), and_short(f"{i('place')}, {i('day')}, {r('daily_return')}", 3).format("returns"))
 cte("xreturns", ("returns",), "SELECT *, daily_return - avg(daily_return) OVER (PARTITION BY trade_date, place) AS x FROM returns")
 cte("cov", ("xreturns",), covariance("returns"))
-oracle("ledoit_wolf", ("cov",), f"""
-    SELECT {d('trade_date')}, {i('i')}, {i('j')}, {r('covariance')}, {r('correlation')} FROM cov WHERE i <= j""")
+oracle("ledoit_wolf", ("cov", "short"), and_short(f"{i('i')}, {i('j')}, {r('covariance')}, {r('correlation')}", 4).format("(SELECT * FROM cov WHERE i <= j)"))
 
 
 def alike(c: str, k: str) -> str:
@@ -626,9 +645,9 @@ def subsets(pool_name: str, cov_name: str, by: str = "") -> str:
 
 
 cte("subsets", ("pool", "cov"), subsets("pool", "cov"))
-oracle("subset_search", ("subsets",), f"""
-    SELECT {d('trade_date')}, array_to_string(places, ',') AS places, {r('mean_score')}, {r('variance')}, {r('mean_correlation')},
-      {r('vr', 'variance_rank')}, {r('cr', 'correlation_rank')} FROM subsets""")
+oracle("subset_search", ("subsets", "short"), and_short(
+    f"array_to_string(places, ',') AS places, {r('mean_score')}, {r('variance')}, {r('mean_correlation')}, {r('vr', 'variance_rank')}, {r('cr', 'correlation_rank')}", 6, listed=True
+).format("subsets"))
 
 
 def best(source: str, v: str, c: str, by: str = "") -> str:
@@ -641,16 +660,26 @@ def best(source: str, v: str, c: str, by: str = "") -> str:
 
 
 cte("chosen", ("subsets",), best("subsets", "0.5::DOUBLE", "0.25::DOUBLE"))
-oracle("portfolio_selection", ("chosen",), f"""
-    SELECT {d('trade_date')}, unnest(ids) AS stock_id, 0.2::DOUBLE AS weight FROM chosen""")
+oracle("portfolio_selection", ("chosen", "short"), and_short("stock_id, 0.2::DOUBLE AS weight", 2).format("(SELECT trade_date, unnest(ids) AS stock_id FROM chosen)"))
 cte("light", ("subsets",), best("subsets", "0.25::DOUBLE", "0.1::DOUBLE"))
-oracle("portfolio_fallback", ("light", "pool"), f"""
-    SELECT {d('trade_date')}, array_to_string(list_sort(ids), ',') AS stock_ids, {r('variance', 'portfolio_variance')},
-      {r('objective', 'selection_score')}, NULL::VARCHAR AS degraded_reason FROM light WHERE trade_date >= DATE '1998-01-01'
+# Pools of candidates with 21 closes; the early ones have no covariances.
+cte("weeks20", ("labelled", "history", "dates"), """
+    SELECT l.*, seq FROM labelled l JOIN history h USING (stock_id, trade_date) JOIN dates USING (trade_date) WHERE seq >= 21 AND i % 5 = 0""")
+cte("pool20", ("weeks20",), pool("weeks20"))
+cte("returns20", ("pool20", "history"), grid_returns("pool20"))
+cte("xreturns20", ("returns20",), "SELECT *, daily_return - avg(daily_return) OVER (PARTITION BY trade_date, place) AS x FROM returns20")
+cte("cov20", ("xreturns20",), covariance("returns20"))
+cte("subsets20", ("pool20", "cov20"), subsets("pool20", "cov20"))
+cte("light20", ("subsets20",), best("subsets20", "0.25::DOUBLE", "0.1::DOUBLE"))
+cte("short20", ("pool20", "dates"), "SELECT trade_date FROM dates WHERE i % 5 = 0 AND trade_date NOT IN (SELECT trade_date FROM pool20)")
+cte("fallen20", ("light20", "pool20"), """
+    SELECT trade_date, list_sort(ids) AS ids, variance, objective, NULL::VARCHAR AS reason FROM light20
     UNION ALL
-    SELECT {d('trade_date')}, string_agg(stock_id, ',' ORDER BY stock_id), 0.0, {r('avg(pred_score)', 'selection_score')},
-      'covariance_fallback:insufficient common return history' FROM pool
-    WHERE place <= 5 AND trade_date < DATE '1998-01-01' GROUP BY trade_date""")
+    SELECT trade_date, list(stock_id ORDER BY stock_id), 0.0, avg(pred_score), 'covariance_fallback:insufficient common return history' FROM pool20
+    WHERE place <= 5 AND trade_date NOT IN (SELECT trade_date FROM light20) GROUP BY trade_date""")
+oracle("portfolio_fallback", ("fallen20", "short20"), and_short(
+    f"array_to_string(ids, ',') AS stock_ids, {r('variance', 'portfolio_variance')}, {r('objective', 'selection_score')}", 3, "reason", "short20", listed=True
+).format("fallen20"))
 
 
 def series(chosen: str, base: str, by: str) -> str:
