@@ -231,11 +231,14 @@ class Search:
         self.rows = np.frombuffer(index["vectors"], float).reshape(-1, width)
         self.nodes = np.frombuffer(index["nodes"], NODE)
         self.lengths = lengths(self.rows)
+        self.units = self.rows / self.lengths[:, None]
         self.k, self.factor = k, factor
 
     def run(self, ids: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per query k vec_ids and scores, best first; what is missing has the score -inf."""
         self.own, self.queries, self.bound = ids, queries, bound.copy()
+        self.query_lengths = lengths(queries)
+        self.directions = queries / self.query_lengths[:, None]
         self.best = np.full((len(ids), self.k), np.iinfo(np.int64).max)
         self.score = np.full((len(ids), self.k), -np.inf)
         self.visit(0, np.arange(len(ids)))
@@ -249,7 +252,7 @@ class Search:
             for a in range(int(node["start"]), int(node["end"]), 512):  # a leaf of equal rows may be long
                 self.scan(a, min(a + 512, int(node["end"])), who)
             return
-        away = distances(cosines(self.queries[who], self.rows[node["point"]][None, :]))[:, 0]
+        away = distances(self.directions[who] @ self.units[node["point"]])
         near = np.maximum(node["near_low"] - away, away - node["near_high"])
         far = np.maximum(node["far_low"] - away, away - node["far_high"])
         first = near <= far
@@ -259,15 +262,28 @@ class Search:
                 self.visit(int(node[child]), who[open_])
 
     def scan(self, start: int, end: int, who: np.ndarray) -> None:
-        score = cosines(self.queries[who], self.rows[start:end], self.lengths[start:end])
-        ids = np.broadcast_to(self.ids[start:end], score.shape)
-        score = np.where(ids == self.own[who][:, None], -np.inf, score)
-        both_ids = np.concatenate([self.best[who], ids], axis=1)
-        both = np.concatenate([self.score[who], score], axis=1)
-        keep = np.lexsort((both_ids, -both))[:, : self.k]
-        self.best[who], self.score[who] = np.take_along_axis(both_ids, keep, 1), np.take_along_axis(both, keep, 1)
-        worst = self.score[who][:, -1]
-        self.bound[who] = np.minimum(self.bound[who], np.where(np.isfinite(worst), distances(np.where(np.isfinite(worst), worst, 0.0)), np.inf))
+        """Take the rows of a leaf into the best. One matrix product finds the few pairs that may improve; they are summed exactly."""
+        about = self.directions[who] @ self.units[start:end].T
+        q, x = np.nonzero(about >= self.score[who, -1][:, None] - SLACK)
+        x += start
+        other = self.ids[x] != self.own[who[q]]
+        q, x = q[other], x[other]
+        score = (self.queries[who[q]] * self.rows[x]).sum(-1) / (self.query_lengths[who[q]] * self.lengths[x])
+        asked, counts = np.unique(q, return_counts=True)
+        if not len(asked):
+            return
+        mine = who[asked]
+        place = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts)
+        row = np.repeat(np.arange(len(asked)), counts)
+        ids = np.full((len(asked), self.k + counts.max()), np.iinfo(np.int64).max)
+        both = np.full(ids.shape, -np.inf)
+        ids[:, : self.k], both[:, : self.k] = self.best[mine], self.score[mine]
+        ids[row, self.k + place], both[row, self.k + place] = self.ids[x], score
+        keep = np.lexsort((ids, -both))[:, : self.k]
+        self.best[mine], self.score[mine] = np.take_along_axis(ids, keep, 1), np.take_along_axis(both, keep, 1)
+        worst = self.score[mine, -1]
+        full = np.isfinite(worst)
+        self.bound[mine[full]] = np.minimum(self.bound[mine[full]], distances(worst[full]))
 
 
 def searched(visits: DataFrame, index: DataFrame, cells: Cells, k: int, factor: float) -> DataFrame:
