@@ -68,6 +68,21 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(documents(spark, sf_dir), width=4, percent=85)
 
 
+LLM_ORACLE["op8_ngram_join"] = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM texts WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reached AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, b FROM reached r JOIN links ON a = r.other)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, t.doc_id) AS component_id
+FROM texts t LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS root FROM reached GROUP BY doc_id) USING (doc_id)
+"""
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that benchmark items leak into, as pairs, by slot-consistent template windows."""
@@ -93,6 +108,22 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+LLM_ORACLE["op7_warc"] = r"""
+WITH bodies AS (
+    SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last, count(*) OVER (PARTITION BY coalesce(html, '')) AS n FROM pages
+), digits AS (
+    SELECT *, array_to_string(list_transform(string_split(upper(sha1(html)), ''), lambda h: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111',
+        '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789ABCDEF', h)]), '') AS bits FROM bodies
+)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(16 * bits[5 * i + 1]::INT + 8 * bits[5 * i + 2]::INT
+        + 4 * bits[5 * i + 3]::INT + 2 * bits[5 * i + 4]::INT + bits[5 * i + 5]::INT + 1)]), '') AS payload_digest,
+    CASE WHEN n > 1 AND page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n > 1 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM digits
+"""
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity and grade of every document, by labels outside the held-out third."""

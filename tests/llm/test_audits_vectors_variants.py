@@ -137,10 +137,23 @@ def variants_of(docs, one_in):
     return {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in found.collect()}
 
 
-@pytest.mark.parametrize(("half_words", "tile_rows", "group_chars"), [(4096, 128, 400_000), (6, 4, 300)])
-def test_variants_match_all_pairs(spark, docs, corpus, monkeypatch, half_words, tile_rows, group_chars):
-    monkeypatch.setattr(spelling, "HALF_WORDS", half_words)
+@pytest.mark.parametrize("tile_rows", [1, 8, 9, 128])
+def test_tiles_meet_once(monkeypatch, tile_rows):
     monkeypatch.setattr(spelling, "TILE_ROWS", tile_rows)
+    halves = np.repeat(np.arange(40), np.random.default_rng(3).integers(1, 30, size=40))
+    met = {}
+    for p, q, r, s in spelling.tile_pairs(halves, 12):
+        for x in range(p, q):
+            for y in range(r, s):
+                if x < y and halves[x] == halves[y]:
+                    met[x, y] = met.get((x, y), 0) + 1
+    assert met == {(x, y): 1 for x in range(len(halves)) for y in range(x + 1, len(halves)) if halves[x] == halves[y]}
+    assert spelling.tile_pairs(np.zeros(0, int), 5) == []
+
+
+@pytest.mark.parametrize(("half_words", "group_chars"), [(4096, 400_000), (6, 300)])
+def test_variants_match_all_pairs(spark, docs, corpus, monkeypatch, half_words, group_chars):
+    monkeypatch.setattr(spelling, "HALF_WORDS", half_words)
     monkeypatch.setattr(spelling, "GROUP_CHARS", group_chars)
     rng = random.Random(12)
     made = []
