@@ -18,6 +18,7 @@ from panelwright.operators.ordering import (
     join_groups,
     largest_group,
     positions,
+    sketched_quantiles,
 )
 
 
@@ -76,14 +77,21 @@ def clip_overall(
     value: str = "future_return",
     name: str = "target",
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    sketch_size: int | None = None,
 ) -> DataFrame:
-    """Value clipped to its two-sided quantiles over the whole frame (or per fold)."""
+    """Value clipped to its two-sided quantiles over the whole frame (or per fold).
+
+    The quantiles are exact; a ``sketch_size`` (8 to 65535) takes approximate ones from sketches of that size instead.
+    """
     keys = list(group) or ["_frame"]
     framed = panel if group else panel.withColumn("_frame", F.lit(0))
-    bounds = group_quantiles(
-        framed.select(*keys, value), keys, value, {"_low": quantile, "_high": 1.0 - quantile},
-        in_window=fits_one_task(framed, keys, max_group_rows),
-    )
+    ends = {"_low": quantile, "_high": 1.0 - quantile}
+    if sketch_size is None:
+        bounds = group_quantiles(
+            framed.select(*keys, value), keys, value, ends, in_window=fits_one_task(framed, keys, max_group_rows)
+        )
+    else:
+        bounds = sketched_quantiles(framed, keys, value, ends, sketch_size)
     # One row per frame or fold.
     clipped = clamp(F.col(value), F.col("_low"), F.col("_high"))
     return (

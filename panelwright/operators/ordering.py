@@ -256,3 +256,15 @@ def group_quantiles(
         columns.append((value_at(low) * (F.lit(1.0) - part) + value_at(high) * part).alias(name))
     result = placed.groupBy(*group).agg(*columns)
     return result.drop("_all") if whole else result
+
+
+def sketched_quantiles(df: DataFrame, group: Sequence[str], value: str, quantiles: dict[str, float], size: int) -> DataFrame:
+    """Approximate quantiles per group from mergeable sketches: one pass, a few kilobytes a group, no sort; NULL values ignored.
+
+    Each result is a value of the group; its rank is off by about 2.3 / size^0.9 of the group's rows (0.1 % at 4096). A group
+    of at most ``size`` values is exact but for interpolation. Sketches draw at random, so reruns may differ within that error.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_value"))
+    sketches = rows.groupBy(*group).agg(F.kll_sketch_agg_double("_value", F.lit(size)).alias("_sketch"))
+    found = {n: F.kll_sketch_get_quantile_double("_sketch", F.lit(float(q))) for n, q in quantiles.items()}
+    return sketches.select(*group, *[c.alias(n) for n, c in found.items()])

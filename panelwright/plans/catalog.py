@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelwright.functions.keys import DATE, INSTRUMENT, is_six_digit, normalized_id
 from panelwright.operators import backtest, calendar, features, labels, picks, portfolio, quality, scores, splits
 from panelwright.plans.shown import shown
-from panelwright.sources import bars as bar_source
+from panelwright.sources import bars as bar_source, sinks
 from panelwright.sources.adapter import load_bars
-from panelwright.sources.storage import materialized
+from panelwright.sources.storage import materialized, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +128,27 @@ def six_digit_ids(spark, folder):
     return shown(good.withColumn("_k", F.lit(0)).join(bad.withColumn("_k", F.lit(0)), "_k").drop("_k"))
 
 
+@query
+def bars_round_trip(spark, folder):
+    """Bars written as CSV and as Parquet by year and read back: ids keep their zeros, a missing value stays missing."""
+    place = f"{shared_folder(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    table = stored_bars(spark, folder)
+    parts = []
+    for fmt in ("csv", "parquet"):
+        sinks.write_bars(table, f"{place}-{fmt}", fmt)
+        parts.append(bar_source.read_bars(spark, f"{place}-{fmt}", fmt).withColumn("fmt", F.lit(fmt)))
+    return shown(bar_source.union_histories(parts), "fmt", *KEYS, *NUMBERS)
+
+
+@query
+def picks_round_trip(spark, folder):
+    """Picks of every date written as one CSV file, read back as text and normalised."""
+    path = f"{shared_folder(spark).rstrip('/')}/picks-{uuid.uuid4().hex}"
+    sinks.write_picks(picks.equal_weight_picks(one_score(spark, folder), 3).select(DATE, INSTRUMENT, "weight"), path)
+    back = bar_source.read_text_table(spark, path)
+    return shown(back.select(DATE, INSTRUMENT, F.col("weight").cast("double").alias("weight")))
+
+
 @query
 def derived_bar_fields(spark, folder):
     feed = load_bars(spark, folder).select(
@@ -316,6 +337,21 @@ def clip_overall(spark, folder):
     return shown(labels.clip_overall(returns_panel(spark, folder)), *KEYS, "target")
 
 
+@query
+def clip_overall_sketched(spark, folder):
+    """Rows per fold and role, and whether the approximate bounds cut at most half a percent of the rows more or less than 2 %."""
+    panel = returns_panel(spark, folder)
+    rows = splits.with_folds(panel, splits.purged_walk_forward(panel, **FOLDS))
+    clipped = labels.clip_overall(rows, 0.02, group=("fold", "role"), sketch_size=4096)
+    cut = {"low": F.col("target") > F.col("future_return"), "high": F.col("target") < F.col("future_return")}
+    return shown(
+        clipped.groupBy("fold", "role").agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[(F.abs(F.avg(c.cast("double")) - 0.02) <= 0.005).alias(f"{n}_within") for n, c in cut.items()],
+        )
+    )
+
+
 @query
 def relevance_label(spark, folder):
     return shown(labels.relevance_labels(returns_panel(spark, folder)), *KEYS, "relevance_label")

@@ -94,6 +94,8 @@ cte("bars", ("raw_bars",), f"""
     FROM (SELECT *, lag(close) OVER ({BY_ID}) AS prev FROM raw_bars)""")
 NUMBERS = ("open", "close", "high", "low", "volume", "amount", "amplitude", "change_amount", "pct_chg", "turnover_rate")
 oracle("bars", ("bars",), f"SELECT {KEYS}, {many(r, NUMBERS)} FROM bars")
+oracle("bars_round_trip", ("bars",), f"""
+    SELECT fmt, {KEYS}, {many(r, NUMBERS)} FROM bars, (VALUES ('csv'), ('parquet')) f(fmt)""")
 oracle("standardized_bars", ("bars",), f"""
     SELECT {KEYS}, {many(r, ('open', 'close', 'high', 'low', 'volume', 'amount', 'turnover_rate'))}
     FROM bars WHERE high <> low""")
@@ -407,6 +409,9 @@ cte("outer_train", ("purged",), """
       count(*) OVER (PARTITION BY fold) AS n FROM purged WHERE role = 'train'""")
 cte("nested", ("outer_train",), folds("outer_train", 3, 126, 5))
 oracle("nested_folds", ("nested",), f"SELECT {i('outer_fold')}, {d('trade_date')}, {i('fold', 'inner_fold')}, role FROM nested")
+oracle("clip_overall_sketched", ("valid", "purged"), f"""
+    SELECT {i('fold')}, role, {i('count(*)', 'rows')}, 1::BIGINT AS low_within, 1::BIGINT AS high_within
+    FROM valid JOIN purged USING (trade_date) GROUP BY fold, role""")
 oracle("fold_rows", ("valid", "purged"), f"""
     SELECT {i('fold')}, role, {i('count(*)', 'rows')}, {d('min(trade_date)', 'first_date')}, {d('max(trade_date)', 'last_date')},
       {r('avg(future_return)', 'mean_return')} FROM valid JOIN purged USING (trade_date) GROUP BY fold, role""")
@@ -539,6 +544,11 @@ oracle("topk_picks", ("labelled",), f"""
     FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM (
       SELECT trade_date, stock_id, row_number() OVER (PARTITION BY trade_date ORDER BY pred_score DESC, stock_id) AS place FROM labelled)
       WHERE place <= 3)""")
+oracle("picks_round_trip", ("labelled",), f"""
+    SELECT {d('trade_date')}, stock_id, {r('CASE WHEN place = n THEN round(1 - round(1.0::DOUBLE / n, 6) * (n - 1), 6) ELSE round(1.0::DOUBLE / n, 6) END', 'weight')}
+    FROM (SELECT *, count(*) OVER (PARTITION BY trade_date) AS n FROM (
+      SELECT trade_date, stock_id, row_number() OVER (PARTITION BY trade_date ORDER BY pred_score DESC, stock_id) AS place FROM labelled)
+      WHERE place <= 3)""")
 cte("history", ("bars",), f"SELECT stock_id, trade_date, close, row_number() OVER ({BY_ID}) AS seq FROM bars WHERE close > 0")
 cte("eligible", ("labelled", "history"), """
     SELECT l.*, seq FROM labelled l JOIN history h USING (stock_id, trade_date) WHERE seq >= 61""")

@@ -108,3 +108,18 @@ def test_long_histories_are_cut_into_overlapping_slices(gappy_bars):
     labelled = [labels.forward_returns(gappy_bars, max_group_rows=n) for n in (None, 2, 9)]
     first = rows(labelled[0], *KEY, "future_return", "open_t_buy")
     assert all(rows(x, *KEY, "future_return", "open_t_buy") == first for x in labelled[1:])
+
+
+def test_sketched_clip_is_close_in_rank(spark):
+    """10 000 and 300 rows of two folds, a fold without values: ranks of the bounds against exact ones."""
+    data = [(n % 2 if n < 600 else 0, float((n * 7919) % 10301)) for n in range(10300)] + [(2, None), (None, 4.0)]
+    panel = spark.createDataFrame(data, "fold int, future_return double").repartition(5)
+    out = labels.clip_overall(panel, 0.05, group=("fold",), sketch_size=2048).where("fold IS NOT NULL").collect()
+    for fold in (0, 1):
+        own = [r for r in out if r.fold == fold]
+        for cut in (sum(r.target > r.future_return for r in own), sum(r.target < r.future_return for r in own)):
+            assert abs(cut / len(own) - 0.05) < 0.008
+    assert [r.target for r in out if r.fold == 2] == [None] and len(out) == len(data) - 1
+    exact = labels.clip_overall(panel.where("fold = 0"), 0.05)
+    assert exact.count() == sum(f == 0 for f, _ in data)
+    assert labels.clip_overall(panel.limit(0), 0.05, sketch_size=64).count() == 0
