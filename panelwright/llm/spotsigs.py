@@ -6,10 +6,10 @@ word in ``SAMPLED``, chosen by its hash, is an anchor as well. Words are runs of
 fingerprint is the sorted set of the 32-bit hashes of a text's spots, written as decimal numbers. A text without
 spots takes its words in their place, one without words its whole text, an empty text nothing.
 
-Likeness is the Jaccard similarity of two such sets. ``matches`` searches a stated set of queries in all
-documents: sets are partitioned by length, so that a pair can reach the threshold only inside a partition or between
-neighbours, candidates share one of the first hashes of their sets, and the length bound prunes
-pairs before their sets are compared.
+Likeness is the Jaccard similarity of two such sets. ``searched`` and ``matches`` search a stated set of queries in all
+documents: equal sets are one class, classes are partitioned by length, so that a pair can reach the threshold only inside a
+partition or between neighbours, candidates share one of the rarest spots of their sets, and the length bound prunes
+pairs before their sets are compared. Two different spots may share a 32-bit hash; likeness can then be too high by that spot.
 
 Defined cases: null text is empty; two empty fingerprints have likeness 1; equal texts have equal fingerprints; rows that
 repeat a doc_id are followed by one another in the order of their texts; null ids come first; an
@@ -22,6 +22,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelwright.llm.shared import stored
+
 # Common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be been but by for from had has have he his in is it its not of on or that the their they this to was were which with you "
@@ -109,8 +111,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     return seen.where("guest = 0").drop("guest")
 
 
-def compared(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edit, whose last quarter the start of the next document replaces."""
+def edits(docs: DataFrame) -> DataFrame:
+    """Spots of each text and of its edit, whose last quarter the start of the next document replaces, and their likeness."""
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut)
@@ -118,28 +120,102 @@ def compared(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited)
     rows = rows.withColumn("edited_spots", spots(F.col("edited")))
     return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        written(F.col("spots")).alias("fingerprint"), written(F.col("edited_spots")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "spots", "edited_spots",
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"),
     )
 
 
-def matches(docs: DataFrame, queries: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """(query_id, doc_id, likeness) of a stated set of queries (doc_id, text) against all docs, from at_least on."""
-    width = -math.log(at_least) if at_least < 1 else 1.0
+def shown(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``edits`` with their spots written as fingerprints."""
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", written(F.col("spots")).alias("fingerprint"),
+        written(F.col("edited_spots")).alias("edited_fingerprint"), "near_edited", "near_next", *more,
+    )
+
+
+def compared(docs: DataFrame) -> DataFrame:
+    """Fingerprints of each text and of its edit, and their likeness."""
+    return shown(edits(docs))
+
+
+def spot_classes(rows: DataFrame, asked: Column) -> DataFrame:
+    """(class, spots, size, rows, least, asked): equal sets of rows (doc_id, spots) are one class, asked if one of its rows is."""
+    found = rows.groupBy("spots").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"), F.coalesce(F.max(asked), F.lit(False)).alias("asked")
+    )
+    return stored(found.withColumn("size", F.size("spots")).withColumn("class", F.monotonically_increasing_id()))
 
-    def sets(rows: DataFrame, name: str) -> DataFrame:
-        own = rows.select(F.col("doc_id").alias(f"{name}_id"), spots(F.coalesce("text", F.lit(""))).alias(name))
-        own = own.where(F.size(name) > 0).withColumn(f"{name}_size", F.size(name))
-        first = F.size(name) - F.ceil(F.size(name) * at_least - 1e-9).cast("int") + 1
-        return own.withColumn(f"{name}_part", F.floor(F.log(F.col(f"{name}_size")) / width + 1e-9)).withColumn(f"{name}_first", F.slice(name, F.lit(1), first))
 
-    held = sets(docs, "d").withColumn("token", F.explode("d_first")).select("d_id", "d_size", "d_part", "token")
-    asked = sets(queries, "q").withColumn("token", F.explode("q_first")).withColumn("part", F.explode(F.array(F.col("q_part") - 1, "q_part", F.col("q_part") + 1)))
-    met = asked.join(held, (asked.token == held.token) & (F.col("part") == F.col("d_part"))).where(
-        F.least("q_size", "d_size") >= F.greatest("q_size", "d_size") * at_least - 1e-9
+def class_pairs(classes: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """(one, two, likeness) of every asked class and every other class of at_least or more.
+
+    Two such sets share one of their rarest size - ceil(size * at_least) + 1 spots, and lie in the same or in
+    neighbouring partitions by length. Candidates meet by spot and partition, the length bound prunes them, and the sets of the rest are compared.
+    """
+    width = -math.log(at_least) if at_least < 1 else 1.0
+    tokens = classes.select("class", "size", "asked", F.explode("spots").alias("spot"))
+    common = tokens.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = tokens.join(common, "spot", "left").withColumn(
+        "place", F.row_number().over(Window.partitionBy("class").orderBy(F.coalesce("n", F.lit(1)), "spot"))
+    )
+    # A spot of one class alone takes its place among the rarest, but meets nothing.
+    first = F.col("size") - F.ceil(F.col("size") * at_least - 1e-9) + 1
+    heads = stored(
+        ranked.where((F.col("place") <= first) & F.col("n").isNotNull())
+        .select("class", "size", "asked", "spot", F.floor(F.log("size") / width + 1e-9).alias("part"))
     )
-    pairs = met.select("q_id", "d_id").distinct()
-    full = pairs.join(sets(queries, "q").select("q_id", "q"), "q_id").join(sets(docs, "d").select("d_id", "d"), "d_id")
-    found = full.select(F.col("q_id").alias("query_id"), F.col("d_id").alias("doc_id"), likeness(F.col("q"), F.col("d")).alias("likeness"))
+    near_parts = F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1))
+    one = heads.where("asked").select(F.col("class").alias("one"), F.col("size").alias("one_size"), "spot", near_parts.alias("part"))
+    two = heads.select(F.col("class").alias("two"), F.col("size").alias("two_size"), "spot", "part")
+    met = one.join(two, ["spot", "part"]).where(
+        (F.col("one") != F.col("two")) & (F.least("one_size", "two_size") >= F.greatest("one_size", "two_size") * at_least - 1e-9)
+    )
+    pairs = met.select("one", "two").distinct()
+    sets = classes.select("class", "spots")
+    full = pairs.join(sets.toDF("one", "one_spots"), "one").join(sets.toDF("two", "two_spots"), "two")
+    found = full.select("one", "two", likeness(F.col("one_spots"), F.col("two_spots")).alias("likeness"))
     return found.where(F.col("likeness") >= at_least - 1e-12)
+
+
+def near_counts(rows: DataFrame, asked: Column, at_least: float = 0.8) -> DataFrame:
+    """(spots, n_near, near_first) of the sets of asked rows: how many other rows are at_least alike, the least doc_id of them all.
+
+    Copies are counted by class, never paired. near_first counts the row itself in; rows without a doc_id count, but are never the least.
+    """
+    classes = spot_classes(rows, asked)
+    of = classes.select(F.col("class").alias("two"), "rows", "least")
+    others = class_pairs(classes, at_least).join(of, "two").groupBy(F.col("one").alias("class")).agg(
+        F.sum("rows").alias("more"), F.min("least").alias("other")
+    )
+    return classes.where("asked").join(others, "class", "left").select(
+        "spots", (F.col("rows") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), F.least("least", "other").alias("near_first")
+    )
+
+
+def searched(docs: DataFrame, every: int = 20, at_least: float = 0.8) -> DataFrame:
+    """``compared`` with written fingerprints, and what the search by length partitions finds in all rows for
+    those whose doc_id is divisible by ``every``: n_near and near_first (null for the others).
+    """
+    rows = stored(edits(docs))
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    own = rows.where(asked).join(near_counts(rows.select("doc_id", "spots"), asked, at_least), "spots", "left")
+    rest = rows.where(~asked).withColumns({"n_near": F.lit(None).cast("long"), "near_first": F.lit(None).cast("long")})
+    return shown(own.unionByName(rest), "n_near", "near_first")
+
+
+def matches(docs: DataFrame, queries: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """(query_id, doc_id, likeness) of a stated set of queries (doc_id, text) against all docs, from at_least on.
+
+    Texts without words match nothing."""
+
+    def sets(rows: DataFrame, asked: bool) -> DataFrame:
+        own = rows.select("doc_id", spots(F.coalesce("text", F.lit(""))).alias("spots"), F.lit(asked).alias("query"))
+        return own.where(F.size("spots") > 0)
+
+    rows = stored(sets(docs, False).union(sets(queries, True)))
+    classes = spot_classes(rows, F.col("query"))
+    held = rows.join(classes.select("spots", "class"), "spots").select("doc_id", "query", "class")
+    pairs = class_pairs(classes, at_least).union(classes.where("asked").select("class", "class", F.lit(1.0)))
+    asked = held.where("query").select(F.col("doc_id").alias("query_id"), F.col("class").alias("one"))
+    given = held.where(~F.col("query")).select("doc_id", F.col("class").alias("two"))
+    return asked.join(pairs, "one").join(given, "two").select("query_id", "doc_id", "likeness")

@@ -1,8 +1,10 @@
 import random
+import re
 from itertools import combinations, permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.llm import components, ngram_join, spotsigs
 from text_rows import sentence
@@ -158,3 +160,42 @@ def test_matches_of_stated_queries(spark, docs):
         (q, d): likeness(prints[q], prints[d]) for q in prints if q % 20 == 0 for d in prints if prints[q] and prints[d] and likeness(prints[q], prints[d]) >= 0.6
     }
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def plain_spots(text):
+    """The spots of a text by a plain walk over its words, as (anchor, following content words)."""
+    anchors = set(spotsigs.ANCHORS)
+    words = [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
+    return {
+        (w, *[x for x in words[n + 1 : n + 1 + spotsigs.REACH] if x not in anchors][: spotsigs.CHAIN]) for n, w in enumerate(words) if w in anchors
+    }
+
+
+def test_spots_by_a_plain_walk(spark, monkeypatch):
+    """Without hash-chosen anchors, the likeness of neighbours is that of plainly walked spots."""
+    monkeypatch.setattr(spotsigs, "SAMPLED", 1 << 30)
+    rng = random.Random(3)
+    base = [sentence(rng, 60) + " the of and in " + sentence(rng, 30) + " with the a" for _ in range(6)]
+    texts = [v for b in base for v in (b, b.replace("the", "The,", 1).upper(), " ".join(b.split()[:70]) + " of it all")]
+    out = {r.doc_id: r for r in spotsigs.compared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for n, text in enumerate(texts):
+        one, two = plain_spots(text), plain_spots(texts[(n + 1) % len(texts)])
+        assert one and len(out[n].fingerprint.split(",")) == len(one)
+        assert abs(out[n].near_next - len(one & two) / len(one | two)) < 1e-12
+
+
+def test_search_counts_near_rows(spark, docs, corpus):
+    """Every query row's count of near rows, against all pairs; copies, empty texts and repeated rows count by row."""
+    odd = [(20 * n, t) for n, t in enumerate([None, "", "!!", "!!", "the stone of winter"], 5000)] + [(None, "the stone of winter"), (-40, "")]
+    rows = [(r[0], r[1]) for r in corpus] + odd + odd[:1] + [(r[0] + 100_000, r[1]) for r in corpus[:60]]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spots", F.lit("x")).withColumn("n", F.lit(1)).repartition(5)
+    out = spotsigs.searched(table, at_least=0.7).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r.doc_id is None or r.doc_id % 20:
+            assert r.n_near is None and r.near_first is None
+            continue
+        near = [o.doc_id for o in out if likeness(r.fingerprint, o.fingerprint) >= 0.7]
+        assert (r.n_near, r.near_first) == (len(near) - 1, min(d for d in near if d is not None))
+    assert sum((r.n_near or 0) > 0 for r in out) > 5
+    assert spotsigs.searched(table.limit(0)).count() == 0
