@@ -8,8 +8,9 @@ spots takes its words in their place, one without words its whole text, an empty
 
 Likeness is the Jaccard similarity of two such sets. ``searched`` and ``matches`` search a stated set of queries in all
 documents: equal sets are one class, classes are partitioned by length, so that a pair can reach the threshold only inside a
-partition or between neighbours, candidates share one of the rarest spots of their sets, and the length bound prunes
+partition or between neighbours, candidates share one of the first spots of their sets, frequent ones last, and the length bound prunes
 pairs before their sets are compared. Two different spots may share a 32-bit hash; likeness can then be too high by that spot.
+Equal sets are told by 128 bits.
 
 Defined cases: null text is empty; two empty fingerprints have likeness 1; equal texts have equal fingerprints; rows that
 repeat a doc_id are followed by one another in the order of their texts; null ids come first; an
@@ -36,6 +37,8 @@ SAMPLED = 6
 REACH = 10
 BUCKET_ROWS = 500
 MOST_BUCKETS = 50_000
+SAMPLE = 20_000
+FREQUENT, MOST_FREQUENT = 0.02, 1024
 FIRST_ID = -(1 << 63)
 
 
@@ -105,7 +108,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = heads.select("bucket", "head", F.lag("bucket").over(order).alias("before"), F.max("bucket").over(Window.partitionBy()).alias("last"))
     heads = heads.select("bucket", F.col("head").alias("key"), F.coalesce("before", "last").alias("before"))
     guests = rows.join(F.broadcast(heads), ["bucket", "key"]).select("doc_id", "text", "key", F.col("before").alias("bucket"), F.lit(1).alias("guest"))
-    held = rows.select("doc_id", "text", "key", "bucket", F.lit(0).alias("guest")).union(guests).withColumn("spots", spots(F.col("text")))
+    # Spots are taken behind the shuffle, so only texts travel.
+    held = rows.select("doc_id", "text", "key", "bucket", F.lit(0).alias("guest")).union(guests).repartition("bucket").withColumn("spots", spots(F.col("text")))
     turn = Window.partitionBy("bucket").orderBy("guest", "key", "text")
     seen = held.select("doc_id", "text", "spots", "guest", F.lead("text").over(turn).alias("next_text"), F.lead("spots").over(turn).alias("next_spots"))
     return seen.where("guest = 0").drop("guest")
@@ -138,69 +142,92 @@ def compared(docs: DataFrame) -> DataFrame:
     return shown(edits(docs))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with spots, written with a number of their own in ``row``."""
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()))
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """Rows with their set's 128-bit mark, by which equal sets are found without moving them."""
+    return rows.withColumn("mark", F.struct(F.xxhash64("spots").alias("a"), F.xxhash64(F.lit(1), "spots").alias("b"), F.size("spots").alias("size")))
+
+
 def spot_classes(rows: DataFrame, asked: Column) -> DataFrame:
-    """(class, spots, size, rows, least, asked): equal sets of rows (doc_id, spots) are one class, asked if one of its rows is."""
-    found = rows.groupBy("spots").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"), F.coalesce(F.max(asked), F.lit(False)).alias("asked")
+    """(mark, class, rows, least, asked) of numbered rows: equal sets are one class, named by its first row, asked if one of its rows is."""
+    return stored(
+        marked(rows).groupBy("mark").agg(
+            F.min("row").alias("class"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"),
+            F.coalesce(F.max(asked), F.lit(False)).alias("asked"),
+        )
     )
-    return stored(found.withColumn("size", F.size("spots")).withColumn("class", F.monotonically_increasing_id()))
 
 
-def class_pairs(classes: DataFrame, at_least: float = 0.8) -> DataFrame:
+def frequent_spots(rows: DataFrame, classes: DataFrame) -> list[int]:
+    """Spots of FREQUENT or more of a sample of the classes, at most MOST_FREQUENT. They only order sets, so no result depends on them."""
+    step = max(1, classes.count() // SAMPLE)
+    some = classes.where(F.pmod(F.xxhash64("class"), F.lit(step)) == 0).select("class")
+    count = some.count()
+    spread = rows.join(some, rows["row"] == some["class"], "left_semi").select(F.explode("spots").alias("spot"))
+    found = spread.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, count * FREQUENT))
+    return sorted(r.spot for r in found.orderBy(F.desc("n"), "spot").limit(MOST_FREQUENT).collect())
+
+
+def class_pairs(rows: DataFrame, classes: DataFrame, at_least: float = 0.8) -> DataFrame:
     """(one, two, likeness) of every asked class and every other class of at_least or more.
 
-    Two such sets share one of their rarest size - ceil(size * at_least) + 1 spots, and lie in the same or in
-    neighbouring partitions by length. Candidates meet by spot and partition, the length bound prunes them, and the sets of the rest are compared.
+    In any order of spots two such sets share one of their first size - ceil(size * at_least) + 1, here with frequent
+    spots last, and lie in the same or in neighbouring partitions by length. Candidates meet by spot and partition, the
+    length bound prunes them, and the sets of the rest are compared.
     """
     width = -math.log(at_least) if at_least < 1 else 1.0
-    tokens = classes.select("class", "size", "asked", F.explode("spots").alias("spot"))
-    common = tokens.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranked = tokens.join(common, "spot", "left").withColumn(
-        "place", F.row_number().over(Window.partitionBy("class").orderBy(F.coalesce("n", F.lit(1)), "spot"))
-    )
-    # A spot of one class alone takes its place among the rarest, but meets nothing.
-    first = F.col("size") - F.ceil(F.col("size") * at_least - 1e-9) + 1
-    heads = stored(
-        ranked.where((F.col("place") <= first) & F.col("n").isNotNull())
-        .select("class", "size", "asked", "spot", F.floor(F.log("size") / width + 1e-9).alias("part"))
+    last = F.lit(frequent_spots(rows, classes)).cast("array<int>")
+    size = F.size("spots")
+    first = size - F.ceil(size * at_least - 1e-9).cast("int") + 1
+    ordered = F.concat(F.array_except("spots", last), F.array_intersect("spots", last))
+    heads = rows.where(size > 0).select(
+        F.col("row").alias("class"), size.alias("size"), F.slice(ordered, 1, first).alias("head"),
+        F.floor(F.log(size) / width + 1e-9).cast("int").alias("part"),
     )
+    heads = heads.join(classes.select("class", "asked"), "class")
     near_parts = F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1))
-    one = heads.where("asked").select(F.col("class").alias("one"), F.col("size").alias("one_size"), "spot", near_parts.alias("part"))
-    two = heads.select(F.col("class").alias("two"), F.col("size").alias("two_size"), "spot", "part")
+    one = heads.where("asked").select(F.col("class").alias("one"), F.col("size").alias("one_size"), "head", near_parts.alias("part"))
+    one = one.select("one", "one_size", F.explode("head").alias("spot"), "part")
+    two = heads.select(F.col("class").alias("two"), F.col("size").alias("two_size"), F.explode("head").alias("spot"), "part")
     met = one.join(two, ["spot", "part"]).where(
         (F.col("one") != F.col("two")) & (F.least("one_size", "two_size") >= F.greatest("one_size", "two_size") * at_least - 1e-9)
     )
-    pairs = met.select("one", "two").distinct()
-    sets = classes.select("class", "spots")
-    full = pairs.join(sets.toDF("one", "one_spots"), "one").join(sets.toDF("two", "two_spots"), "two")
+    pairs = stored(met.select("one", "two").distinct())
+    sets = rows.select("row", "spots")
+    asked = sets.join(pairs.select(F.col("one").alias("row")).distinct(), "row", "left_semi")
+    full = sets.toDF("two", "two_spots").join(pairs, "two").join(asked.toDF("one", "one_spots"), "one")
     found = full.select("one", "two", likeness(F.col("one_spots"), F.col("two_spots")).alias("likeness"))
     return found.where(F.col("likeness") >= at_least - 1e-12)
 
 
 def near_counts(rows: DataFrame, asked: Column, at_least: float = 0.8) -> DataFrame:
-    """(spots, n_near, near_first) of the sets of asked rows: how many other rows are at_least alike, the least doc_id of them all.
+    """(mark, n_near, near_first) of the sets of asked numbered rows: how many other rows are at_least alike, the least doc_id of them all.
 
     Copies are counted by class, never paired. near_first counts the row itself in; rows without a doc_id count, but are never the least.
     """
     classes = spot_classes(rows, asked)
     of = classes.select(F.col("class").alias("two"), "rows", "least")
-    others = class_pairs(classes, at_least).join(of, "two").groupBy(F.col("one").alias("class")).agg(
+    others = class_pairs(rows, classes, at_least).join(of, "two").groupBy(F.col("one").alias("class")).agg(
         F.sum("rows").alias("more"), F.min("least").alias("other")
     )
     return classes.where("asked").join(others, "class", "left").select(
-        "spots", (F.col("rows") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), F.least("least", "other").alias("near_first")
+        "mark", (F.col("rows") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"), F.least("least", "other").alias("near_first")
     )
 
 
 def searched(docs: DataFrame, every: int = 20, at_least: float = 0.8) -> DataFrame:
-    """``compared`` with written fingerprints, and what the search by length partitions finds in all rows for
-    those whose doc_id is divisible by ``every``: n_near and near_first (null for the others).
+    """``compared``, and what the search by length partitions finds in all rows for those whose doc_id is
+    divisible by ``every``: n_near and near_first (null for the others).
     """
-    rows = stored(edits(docs))
+    rows = numbered(edits(docs))
     asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
-    own = rows.where(asked).join(near_counts(rows.select("doc_id", "spots"), asked, at_least), "spots", "left")
+    own = marked(rows.where(asked)).join(near_counts(rows.select("doc_id", "spots", "row"), asked, at_least), "mark", "left")
     rest = rows.where(~asked).withColumns({"n_near": F.lit(None).cast("long"), "near_first": F.lit(None).cast("long")})
-    return shown(own.unionByName(rest), "n_near", "near_first")
+    return shown(own.drop("mark").unionByName(rest), "n_near", "near_first")
 
 
 def matches(docs: DataFrame, queries: DataFrame, at_least: float = 0.8) -> DataFrame:
@@ -212,10 +239,10 @@ def matches(docs: DataFrame, queries: DataFrame, at_least: float = 0.8) -> DataF
         own = rows.select("doc_id", spots(F.coalesce("text", F.lit(""))).alias("spots"), F.lit(asked).alias("query"))
         return own.where(F.size("spots") > 0)
 
-    rows = stored(sets(docs, False).union(sets(queries, True)))
+    rows = numbered(sets(docs, False).union(sets(queries, True)))
     classes = spot_classes(rows, F.col("query"))
-    held = rows.join(classes.select("spots", "class"), "spots").select("doc_id", "query", "class")
-    pairs = class_pairs(classes, at_least).union(classes.where("asked").select("class", "class", F.lit(1.0)))
+    held = marked(rows.select("doc_id", "query", "spots")).join(classes.select("mark", "class"), "mark").select("doc_id", "query", "class")
+    pairs = class_pairs(rows, classes, at_least).union(classes.where("asked").select("class", "class", F.lit(1.0)))
     asked = held.where("query").select(F.col("doc_id").alias("query_id"), F.col("class").alias("one"))
     given = held.where(~F.col("query")).select("doc_id", F.col("class").alias("two"))
     return asked.join(pairs, "one").join(given, "two").select("query_id", "doc_id", "likeness")
