@@ -176,8 +176,9 @@ def class_pairs(rows: DataFrame, classes: DataFrame, at_least: float = 0.8) -> D
     """(one, two, likeness) of every asked class and every other class of at_least or more.
 
     In any order of spots two such sets share one of their first size - ceil(size * at_least) + 1, here with frequent
-    spots last, and lie in the same or in neighbouring partitions by length. Candidates meet by spot and partition, the
-    length bound prunes them, and the sets of the rest are compared.
+    spots last, and lie in the same or in neighbouring partitions by length. Candidates meet by spot and partition, and the
+    length bound prunes them. The beginning that ends first has all its shared spots inside the other one, so those
+    and the rest of its set bound the overlap; pairs that stay below the needed one are pruned too. The sets of the others are compared.
     """
     width = -math.log(at_least) if at_least < 1 else 1.0
     last = F.lit(frequent_spots(rows, classes)).cast("array<int>")
@@ -188,15 +189,22 @@ def class_pairs(rows: DataFrame, classes: DataFrame, at_least: float = 0.8) -> D
         F.col("row").alias("class"), size.alias("size"), F.slice(ordered, 1, first).alias("head"),
         F.floor(F.log(size) / width + 1e-9).cast("int").alias("part"),
     )
+    end = F.element_at("head", -1)
+    # Place of the last spot of the beginning in the common order.
+    heads = heads.withColumn("end", end.cast("long") + F.when(F.array_contains(last, end), F.lit(1 << 33)).otherwise(F.lit(0)))
     heads = heads.join(classes.select("class", "asked"), "class")
     near_parts = F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1))
-    one = heads.where("asked").select(F.col("class").alias("one"), F.col("size").alias("one_size"), "head", near_parts.alias("part"))
-    one = one.select("one", "one_size", F.explode("head").alias("spot"), "part")
-    two = heads.select(F.col("class").alias("two"), F.col("size").alias("two_size"), F.explode("head").alias("spot"), "part")
+    one = heads.where("asked").withColumn("part", near_parts).select(*[F.col(c).alias(f"one_{c}") for c in ("class", "size", "end")], "part", F.explode("head").alias("spot"))
+    two = heads.select(*[F.col(c).alias(f"two_{c}") for c in ("class", "size", "end")], "part", F.explode("head").alias("spot"))
     met = one.join(two, ["spot", "part"]).where(
-        (F.col("one") != F.col("two")) & (F.least("one_size", "two_size") >= F.greatest("one_size", "two_size") * at_least - 1e-9)
+        (F.col("one_class") != F.col("two_class")) & (F.least("one_size", "two_size") >= F.greatest("one_size", "two_size") * at_least - 1e-9)
     )
-    pairs = stored(met.select("one", "two").distinct())
+    needed = F.ceil((F.col("one_size") + F.col("two_size")) * (at_least / (1 + at_least)) - 1e-9)
+    behind = F.ceil(F.when(F.col("one_end") <= F.col("two_end"), F.col("one_size")).otherwise(F.col("two_size")) * at_least - 1e-9) - 1
+    counted = met.groupBy(F.col("one_class").alias("one"), F.col("two_class").alias("two")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max(needed - behind).alias("fewest")
+    )
+    pairs = stored(counted.where("shared >= fewest").select("one", "two"))
     sets = rows.select("row", "spots")
     asked = sets.join(pairs.select(F.col("one").alias("row")).distinct(), "row", "left_semi")
     full = sets.toDF("two", "two_spots").join(pairs, "two").join(asked.toDF("one", "one_spots"), "one")
