@@ -8,8 +8,8 @@ spots takes its words in their place, one without words its whole text, an empty
 
 Likeness is the Jaccard similarity of two such sets. ``searched`` and ``matches`` search a stated set of queries in all
 documents: equal sets are one class, classes are partitioned by length, so that a pair can reach the threshold only inside a
-partition or between neighbours, candidates share one of the first spots of their sets, frequent ones last, and the length bound prunes
-pairs before their sets are compared. Two different spots may share a 32-bit hash; likeness can then be too high by that spot.
+partition or between neighbours, and share one of the first spots of their sets, frequent ones last. Alike sets are gathered in blocks, so a
+query meets a group of near copies by its few blocks; the sets of the blocks it may be near are then compared, each once. Two different spots may share a 32-bit hash; likeness can then be too high by that spot.
 Equal sets are told by 128 bits.
 
 Defined cases: null text is empty; two empty fingerprints have likeness 1; equal texts have equal fingerprints; rows that
@@ -38,6 +38,7 @@ REACH = 10
 BUCKET_ROWS = 500
 MOST_BUCKETS = 50_000
 SAMPLE = 20_000
+TILE = 256
 FREQUENT, MOST_FREQUENT = 0.02, 1024
 FIRST_ID = -(1 << 63)
 
@@ -172,13 +173,12 @@ def frequent_spots(rows: DataFrame, classes: DataFrame) -> list[int]:
     return sorted(r.spot for r in found.orderBy(F.desc("n"), "spot").limit(MOST_FREQUENT).collect())
 
 
-def class_pairs(rows: DataFrame, classes: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """(one, two, likeness) of every asked class and every other class of at_least or more.
+def heads_of(rows: DataFrame, classes: DataFrame, at_least: float) -> DataFrame:
+    """(class, size, head, end, part, block, asked) of every class with spots: the beginning of its set, in which two sets of at_least
+    share a spot, the place of the beginning's last spot in the common order, frequent spots last, the partition by length, and the block.
 
-    In any order of spots two such sets share one of their first size - ceil(size * at_least) + 1, here with frequent
-    spots last, and lie in the same or in neighbouring partitions by length. Candidates meet by spot and partition, and the
-    length bound prunes them. The beginning that ends first has all its shared spots inside the other one, so those
-    and the rest of its set bound the overlap; pairs that stay below the needed one are pruned too. The sets of the others are compared.
+    A block is what sets of one partition with the same least spot and the same least hash of a spot have in common, so near copies mostly
+    share one. Blocks only gather sets: no result depends on them.
     """
     width = -math.log(at_least) if at_least < 1 else 1.0
     last = F.lit(frequent_spots(rows, classes)).cast("array<int>")
@@ -188,28 +188,78 @@ def class_pairs(rows: DataFrame, classes: DataFrame, at_least: float = 0.8) -> D
     heads = rows.where(size > 0).select(
         F.col("row").alias("class"), size.alias("size"), F.slice(ordered, 1, first).alias("head"),
         F.floor(F.log(size) / width + 1e-9).cast("int").alias("part"),
+        F.hash(F.element_at("spots", 1), F.array_min(F.transform("spots", lambda s: F.hash(s)))).alias("block"),
     )
     end = F.element_at("head", -1)
-    # Place of the last spot of the beginning in the common order.
     heads = heads.withColumn("end", end.cast("long") + F.when(F.array_contains(last, end), F.lit(1 << 33)).otherwise(F.lit(0)))
-    heads = heads.join(classes.select("class", "asked"), "class")
+    return heads.join(classes.select("class", "asked"), "class")
+
+
+def near_blocks(heads: DataFrame, at_least: float) -> DataFrame:
+    """(one, part, block) of every asked class and every block that may hold another class of at_least or more.
+
+    A block is met once for each spot in its beginnings, however many sets hold it. A set of the block that is near shares a spot
+    with the asked one, so its length and end lie inside the bounds of the spots met, and no more spots are shared with it than with the
+    block. The beginning that ends first has all its shared spots inside the other one, so those and the rest of its set
+    bound the overlap; blocks that stay below the least needed one are pruned.
+    """
     near_parts = F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1))
-    one = heads.where("asked").withColumn("part", near_parts).select(*[F.col(c).alias(f"one_{c}") for c in ("class", "size", "end")], "part", F.explode("head").alias("spot"))
-    two = heads.select(*[F.col(c).alias(f"two_{c}") for c in ("class", "size", "end")], "part", F.explode("head").alias("spot"))
-    met = one.join(two, ["spot", "part"]).where(
-        (F.col("one_class") != F.col("two_class")) & (F.least("one_size", "two_size") >= F.greatest("one_size", "two_size") * at_least - 1e-9)
+    one = heads.where("asked").withColumn("part", near_parts).select(
+        F.col("class").alias("one"), F.col("size").alias("one_size"), F.col("end").alias("one_end"), "part", F.explode("head").alias("spot")
+    )
+    blocks = heads.select("class", "size", "end", "part", "block", F.explode("head").alias("spot")).repartition("spot", "part").groupBy("spot", "part", "block").agg(
+        F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.min("end").alias("least_end"), F.max("end").alias("most_end"),
+        F.min("class").alias("least_class"), F.max("class").alias("most_class"),
     )
-    needed = F.ceil((F.col("one_size") + F.col("two_size")) * (at_least / (1 + at_least)) - 1e-9)
-    behind = F.ceil(F.when(F.col("one_end") <= F.col("two_end"), F.col("one_size")).otherwise(F.col("two_size")) * at_least - 1e-9) - 1
-    counted = met.groupBy(F.col("one_class").alias("one"), F.col("two_class").alias("two")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max(needed - behind).alias("fewest")
+    only_itself = (F.col("least_class") == F.col("one")) & (F.col("most_class") == F.col("one"))
+    met = one.join(blocks, ["spot", "part"]).where(
+        ~only_itself & (F.col("most_size") >= F.col("one_size") * at_least - 1e-9) & (F.col("one_size") >= F.col("least_size") * at_least - 1e-9)
     )
-    pairs = stored(counted.where("shared >= fewest").select("one", "two"))
+    counted = met.groupBy("one", "one_size", "one_end", "part", "block").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("least_size").alias("least_size"), F.max("most_size").alias("most_size"),
+        F.min("least_end").alias("least_end"), F.max("most_end").alias("most_end"),
+    )
+
+    def behind(size: Column) -> Column:
+        return F.ceil(size * at_least - 1e-9) - 1
+
+    def needed(size: Column) -> Column:
+        return F.ceil((F.col("one_size") + size) * (at_least / (1 + at_least)) - 1e-9)
+
+    least = F.greatest(F.col("least_size"), F.ceil(F.col("one_size") * at_least - 1e-9))
+    most = F.least(F.col("most_size"), F.floor(F.col("one_size") / at_least + 1e-9))
+    # needed grows with the other set's length, needed - behind falls, but for rounding, which can make up one.
+    if_first = needed(least) - behind(F.col("one_size"))
+    if_last = needed(most) - behind(most) - F.when(F.col("least_size") < F.col("most_size"), 1).otherwise(0)
+    fewest = F.when(F.col("least_end") >= F.col("one_end"), if_first).when(F.col("most_end") < F.col("one_end"), if_last).otherwise(F.least(if_first, if_last))
+    return counted.where(F.col("shared") >= fewest).select("one", "part", "block")
+
+
+def class_pairs(rows: DataFrame, classes: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """(one, two, likeness) of every asked class and every other class of at_least or more.
+
+    In any order of spots two such sets share one of their first size - ceil(size * at_least) + 1, here with frequent
+    spots last, and lie in the same or in neighbouring partitions by length. Asked classes meet blocks of sets by spot and partition;
+    then the sets of the blocks that are left are compared, each pair once. Blocks of more than TILE sets are dealt in tiles.
+    """
+    heads = heads_of(rows, classes, at_least)
+    places = stored(heads.select("class", "part", "block"))
+    large = places.groupBy("part", "block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    large = F.broadcast(stored(large))
+    tiles = F.coalesce("tiles", F.lit(1))
+    hits = near_blocks(heads, at_least).join(large, ["part", "block"], "left")
+    hits = stored(hits.select("one", "part", "block", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile")))
+    held = places.join(large, ["part", "block"], "left").select(F.col("class").alias("two"), "part", "block", F.pmod(F.hash("class"), tiles).alias("tile"))
+    held = stored(held.join(hits.select("part", "block", "tile").distinct(), ["part", "block", "tile"], "left_semi"))
     sets = rows.select("row", "spots")
-    asked = sets.join(pairs.select(F.col("one").alias("row")).distinct(), "row", "left_semi")
-    full = sets.toDF("two", "two_spots").join(pairs, "two").join(asked.toDF("one", "one_spots"), "one")
-    found = full.select("one", "two", likeness(F.col("one_spots"), F.col("two_spots")).alias("likeness"))
-    return found.where(F.col("likeness") >= at_least - 1e-12)
+    asked = sets.toDF("one", "one_spots").join(hits, "one")
+    given = sets.toDF("two", "two_spots").join(held, "two")
+    alike = likeness(F.col("one_spots"), F.col("two_spots"))
+    sizes = F.size("one_spots"), F.size("two_spots")
+    found = asked.join(given, ["part", "block", "tile"]).where(
+        (F.col("one") != F.col("two")) & (F.least(*sizes) >= F.greatest(*sizes) * at_least - 1e-9) & (alike >= at_least - 1e-12)
+    )
+    return found.select("one", "two", alike.alias("likeness"))
 
 
 def near_counts(rows: DataFrame, asked: Column, at_least: float = 0.8) -> DataFrame:

@@ -199,3 +199,29 @@ def test_search_counts_near_rows(spark, docs, corpus):
         assert (r.n_near, r.near_first) == (len(near) - 1, min(d for d in near if d is not None))
     assert sum((r.n_near or 0) > 0 for r in out) > 5
     assert spotsigs.searched(table.limit(0)).count() == 0
+
+
+def test_a_group_of_near_copies_is_met_by_blocks(spark, monkeypatch):
+    """Far fewer rows than pairs are kept of a large group of differing near copies, and no pair is lost."""
+    rng = random.Random(5)
+    base = [f"w{n}" for n in range(160)]
+    texts = [" ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base) for _ in range(240)]
+    texts += [" ".join(base[: 100 + n]) for n in range(0, 60, 3)] + [texts[0], "alone of its kind", ""]
+    rows = [(20 * n, text) for n, text in enumerate(texts)]
+    counts, stored = [], spotsigs.stored
+
+    def counting(df):
+        out = stored(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(spotsigs, "stored", counting)
+    monkeypatch.setattr(spotsigs, "TILE", 16)
+    out = {r.doc_id: r for r in spotsigs.searched(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    sets = {i: set(r.fingerprint.split(",")) if r.fingerprint else set() for i, r in out.items()}
+    pairs = 0
+    for i, r in out.items():
+        near = [j for j in sets if j != i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+        pairs += len(near)
+        assert (r.n_near, r.near_first) == (len(near), min([i, *near]))
+    assert pairs > 20_000 and max(counts) < pairs / 3
