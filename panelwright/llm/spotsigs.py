@@ -8,7 +8,7 @@ spots takes its words in their place, one without words its whole text, an empty
 
 Likeness is the Jaccard similarity of two such sets. ``searched`` and ``matches`` search a stated set of queries in all
 documents: equal sets are one class, classes are partitioned by length, so that a pair can reach the threshold only inside a
-partition or between neighbours, and share one of the first spots of their sets, frequent ones last. Alike sets are gathered in blocks, so a
+partition or between neighbours, and share one of the first spots of their sets, rare ones first. Alike sets are gathered in blocks, so a
 query meets a group of near copies by its few blocks; the sets of the blocks it may be near are then compared, each once. Two different spots may share a 32-bit hash; likeness can then be too high by that spot.
 Equal sets are told by 128 bits.
 
@@ -39,7 +39,7 @@ BUCKET_ROWS = 500
 MOST_BUCKETS = 50_000
 SAMPLE = 20_000
 TILE = 256
-FREQUENT, MOST_FREQUENT = 0.02, 1024
+RARE, SLOTS = 4, 1 << 16
 FIRST_ID = -(1 << 63)
 
 
@@ -163,83 +163,80 @@ def spot_classes(rows: DataFrame, asked: Column) -> DataFrame:
     )
 
 
-def frequent_spots(rows: DataFrame, classes: DataFrame) -> list[int]:
-    """Spots of FREQUENT or more of a sample of the classes, at most MOST_FREQUENT. They only order sets, so no result depends on them."""
+def spot_counts(rows: DataFrame, classes: DataFrame) -> Column:
+    """SLOTS numbers: how many sets of a sample of the classes hold the commonest spot of each slot, 0 below RARE sets.
+
+    Each spot has one slot. The numbers only order sets, so no result depends on them.
+    """
     step = max(1, classes.count() // SAMPLE)
     some = classes.where(F.pmod(F.xxhash64("class"), F.lit(step)) == 0).select("class")
-    count = some.count()
     spread = rows.join(some, rows["row"] == some["class"], "left_semi").select(F.explode("spots").alias("spot"))
-    found = spread.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, count * FREQUENT))
-    return sorted(r.spot for r in found.orderBy(F.desc("n"), "spot").limit(MOST_FREQUENT).collect())
+    found = spread.groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RARE)
+    counts = [0] * SLOTS
+    for slot, n in found.groupBy(F.pmod("spot", F.lit(SLOTS)).alias("slot")).agg(F.max("n")).collect():
+        counts[slot] = n
+    # One string, which the optimizer makes an array once, in place of SLOTS literals.
+    return F.split(F.lit(",".join(map(str, counts))), ",").cast("array<int>")
 
 
 def heads_of(rows: DataFrame, classes: DataFrame, at_least: float) -> DataFrame:
-    """(class, size, head, end, part, block, asked) of every class with spots: the beginning of its set, in which two sets of at_least
-    share a spot, the place of the beginning's last spot in the common order, frequent spots last, the partition by length, and the block.
+    """(class, size, head, part, block, asked) of every class with spots: the beginning of its set, in which two sets of at_least
+    share a spot, in the common order, rare spots first, the partition by length, and the block.
 
-    A block is what sets of one partition with the same least spot and the same least hash of a spot have in common, so near copies mostly
-    share one. Blocks only gather sets: no result depends on them.
+    A spot of a head stands behind its number of ``spot_counts`` in one long, by which heads are in order. A block is what sets of one
+    partition with the same least spot and the same least hash of a spot have in common, so near copies mostly share one. Blocks only
+    gather sets: no result depends on them.
     """
     width = -math.log(at_least) if at_least < 1 else 1.0
-    last = F.lit(frequent_spots(rows, classes)).cast("array<int>")
+    counts = spot_counts(rows, classes)
     size = F.size("spots")
     first = size - F.ceil(size * at_least - 1e-9).cast("int") + 1
-    ordered = F.concat(F.array_except("spots", last), F.array_intersect("spots", last))
+    ordered = F.array_sort(F.transform("spots", lambda s: F.get(counts, F.pmod(s, F.lit(SLOTS))).cast("long") * (1 << 32) + s))
     heads = rows.where(size > 0).select(
         F.col("row").alias("class"), size.alias("size"), F.slice(ordered, 1, first).alias("head"),
         F.floor(F.log(size) / width + 1e-9).cast("int").alias("part"),
         F.hash(F.element_at("spots", 1), F.array_min(F.transform("spots", lambda s: F.hash(s)))).alias("block"),
     )
-    end = F.element_at("head", -1)
-    heads = heads.withColumn("end", end.cast("long") + F.when(F.array_contains(last, end), F.lit(1 << 33)).otherwise(F.lit(0)))
     return heads.join(classes.select("class", "asked"), "class")
 
 
 def near_blocks(heads: DataFrame, at_least: float) -> DataFrame:
     """(one, part, block) of every asked class and every block that may hold another class of at_least or more.
 
-    A block is met once for each spot in its beginnings, however many sets hold it. A set of the block that is near shares a spot
-    with the asked one, so its length and end lie inside the bounds of the spots met, and no more spots are shared with it than with the
-    block. The beginning that ends first has all its shared spots inside the other one, so those and the rest of its set
-    bound the overlap; blocks that stay below the least needed one are pruned.
+    A block is met once for each spot in its beginnings, however many sets hold it. Two sets that must share n spots share one
+    that has at least n - 1 spots behind it in both, so the first spot that an asked set shares with a near set of the block is met at
+    a place that leaves room for the rest. Where a spot leaves no room, by the lengths and the foremost place of the spot
+    in the block, it is not met: most spots that sets share by chance.
     """
     near_parts = F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1))
     one = heads.where("asked").withColumn("part", near_parts).select(
-        F.col("class").alias("one"), F.col("size").alias("one_size"), F.col("end").alias("one_end"), "part", F.explode("head").alias("spot")
+        F.col("class").alias("one"), F.col("size").alias("one_size"), "part", F.posexplode("head").alias("one_place", "spot")
     )
-    blocks = heads.select("class", "size", "end", "part", "block", F.explode("head").alias("spot")).repartition("spot", "part").groupBy("spot", "part", "block").agg(
-        F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.min("end").alias("least_end"), F.max("end").alias("most_end"),
+    blocks = heads.select("class", "size", "part", "block", F.posexplode("head").alias("place", "spot")).repartition("spot", "part")
+    blocks = blocks.groupBy("spot", "part", "block").agg(
+        F.min("size").alias("least_size"), F.max("size").alias("most_size"), F.min("place").alias("least_place"),
         F.min("class").alias("least_class"), F.max("class").alias("most_class"),
     )
     only_itself = (F.col("least_class") == F.col("one")) & (F.col("most_class") == F.col("one"))
-    met = one.join(blocks, ["spot", "part"]).where(
-        ~only_itself & (F.col("most_size") >= F.col("one_size") * at_least - 1e-9) & (F.col("one_size") >= F.col("least_size") * at_least - 1e-9)
-    )
-    counted = met.groupBy("one", "one_size", "one_end", "part", "block").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("least_size").alias("least_size"), F.max("most_size").alias("most_size"),
-        F.min("least_end").alias("least_end"), F.max("most_end").alias("most_end"),
-    )
-
-    def behind(size: Column) -> Column:
-        return F.ceil(size * at_least - 1e-9) - 1
+    # The lengths that a near set of the block may have.
+    least = F.greatest(F.col("least_size"), F.ceil(F.col("one_size") * at_least - 1e-9))
+    most = F.least(F.col("most_size"), F.floor(F.col("one_size") / at_least + 1e-9))
 
     def needed(size: Column) -> Column:
         return F.ceil((F.col("one_size") + size) * (at_least / (1 + at_least)) - 1e-9)
 
-    least = F.greatest(F.col("least_size"), F.ceil(F.col("one_size") * at_least - 1e-9))
-    most = F.least(F.col("most_size"), F.floor(F.col("one_size") / at_least + 1e-9))
-    # needed grows with the other set's length, needed - behind falls, but for rounding, which can make up one.
-    if_first = needed(least) - behind(F.col("one_size"))
-    if_last = needed(most) - behind(most) - F.when(F.col("least_size") < F.col("most_size"), 1).otherwise(0)
-    fewest = F.when(F.col("least_end") >= F.col("one_end"), if_first).when(F.col("most_end") < F.col("one_end"), if_last).otherwise(F.least(if_first, if_last))
-    return counted.where(F.col("shared") >= fewest).select("one", "part", "block")
+    # The room in the asked set is largest for the least length, that in the other set for the largest.
+    met = one.join(blocks, ["spot", "part"]).where(
+        ~only_itself & (least <= most) & (F.col("one_place") <= F.col("one_size") - needed(least)) & (F.col("least_place") <= most - needed(most))
+    )
+    return met.select("one", "part", "block").distinct()
 
 
 def class_pairs(rows: DataFrame, classes: DataFrame, at_least: float = 0.8) -> DataFrame:
     """(one, two, likeness) of every asked class and every other class of at_least or more.
 
-    In any order of spots two such sets share one of their first size - ceil(size * at_least) + 1, here with frequent
-    spots last, and lie in the same or in neighbouring partitions by length. Asked classes meet blocks of sets by spot and partition;
+    In any order of spots two such sets share one of their first size - ceil(size * at_least) + 1, here with rare
+    spots first, and lie in the same or in neighbouring partitions by length. Asked classes meet blocks of sets by spot and partition;
     then the sets of the blocks that are left are compared, each pair once. Blocks of more than TILE sets are dealt in tiles.
     """
     heads = heads_of(rows, classes, at_least)

@@ -225,3 +225,47 @@ def test_a_group_of_near_copies_is_met_by_blocks(spark, monkeypatch):
         pairs += len(near)
         assert (r.n_near, r.near_first) == (len(near), min([i, *near]))
     assert pairs > 20_000 and max(counts) < pairs / 3
+
+
+def test_spots_shared_by_chance_are_seldom_met(spark, monkeypatch):
+    """Sets that share fairly common spots, none in 2 % of them, meet in few rows, and every near pair is found."""
+    rng = random.Random(8)
+    sets = [{rng.randrange(-2400, 2400) for _ in range(rng.randint(90, 110))} | {rng.randrange(10**5, 10**9) for _ in range(50)} for _ in range(300)]
+    for n in range(1, 61):
+        one = sorted(sets[n])
+        sets.append(set(one[: len(one) - n % 30]) | {2 * 10**9 + rng.randrange(10**8) for _ in range(n % 7)})
+    table = spark.createDataFrame([(n, n, sorted(s)) for n, s in enumerate(sets)], "doc_id long, row long, spots array<int>").repartition(5)
+    classes = spotsigs.spot_classes(table, F.lit(True))
+    met, where = [], type(table).where
+
+    def noting(df, condition):
+        out = where(df, condition)
+        if {"one", "spot"} <= set(out.columns):
+            met.append(out)
+        return out
+
+    monkeypatch.setattr(type(table), "where", noting)
+    got = {(r.one, r.two) for r in spotsigs.class_pairs(table, classes).collect()}
+    near = {(a, b) for a, b in permutations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert got == near and len(near) > 80
+    counts = [rows.count() for rows in met]
+    assert len(counts) == 1 and counts[0] < 6000
+
+
+@pytest.mark.parametrize("at_least", [0.35, 0.5, 0.8, 0.9, 1.0])
+def test_pairs_at_the_threshold(spark, monkeypatch, at_least):
+    """Sets of every length around the least likeness, by common and rare spots, against all pairs."""
+    monkeypatch.setattr(spotsigs, "SLOTS", 16)
+    rng = random.Random(int(100 * at_least))
+    sets = {frozenset([n]) for n in range(3)}
+    for size in (2, 3, 5, 9, 10, 20, 45, 100):
+        base = rng.sample(range(-200, 200), size)
+        for _ in range(12):
+            kept = rng.sample(base, rng.randint(max(1, int(size * at_least) - 1), size))
+            sets.add(frozenset(kept) | frozenset(rng.randrange(-10**6, 10**6) for _ in range(rng.randint(0, max(1, size // 8)))))
+    sets = sorted(sets, key=sorted)
+    table = spark.createDataFrame([(n, n, sorted(s)) for n, s in enumerate(sets)], "doc_id long, row long, spots array<int>").repartition(5)
+    got = {(r.one, r.two): r.likeness for r in spotsigs.class_pairs(table, spotsigs.spot_classes(table, F.col("doc_id") % 2 == 0), at_least).collect()}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in permutations(range(len(sets)), 2) if a % 2 == 0}
+    want = {pair: x for pair, x in alike.items() if x >= at_least}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
