@@ -1,6 +1,7 @@
 """Features against plain pandas on a small awkward panel."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -137,3 +138,36 @@ def test_latest_rows_and_missing_features(gappy_bars):
     panel = inference_panel(gappy_bars, ["price_to_ma_10", "unheard_of"]).toPandas()
     assert len(panel) == 5 and (panel["unheard_of"] == 0).all()
     assert calendar.latest_rows(gappy_bars, 3).count() == 4 * 3 + 1
+
+
+def dealt_to_dates(df) -> int:
+    """The most columns that a shuffle by date carries."""
+    jvm = df.sparkSession._jvm
+    mode = jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = df._jdf.queryExecution().explainString(mode)
+    return max(int(n) for n in re.findall(r"\) Exchange\nInput \[(\d+)\]: .*\nArguments: hashpartitioning\(trade_date", text))
+
+
+def test_wide_rows_are_not_dealt_to_the_dates(gappy_bars, monkeypatch):
+    names = features.preset_features(gappy_bars.columns, "alpha")
+    unkeyed = gappy_bars.limit(3).withColumn("stock_id", F.lit(None).cast("string"))
+    bars = gappy_bars.unionByName(unkeyed).unionByName(gappy_bars.limit(1).withColumn("trade_date", F.lit(None).cast("date")))
+    sort = lambda df: df.toPandas().sort_values([*KEY, "open"]).reset_index(drop=True)
+    made = features.build_features(bars, "alpha", max_history_rows=7)
+    ranks = sum(n.endswith("_cs_rank") for n in names)
+    assert dealt_to_dates(features.build_features(bars, "alpha")) <= ranks + 5 < len(names) / 2
+    monkeypatch.setattr(features, "WIDE_COLUMNS", 10_000)
+    whole = features.build_features(bars, "alpha")
+    assert dealt_to_dates(whole) > ranks
+    pd.testing.assert_frame_equal(sort(made), sort(whole), check_exact=False, rtol=1e-9, atol=1e-9)
+
+
+def test_rows_that_share_a_key_keep_their_own_ranks(gappy_bars):
+    days = gappy_bars.where("stock_id = '000001'").limit(4)
+    twice = gappy_bars.unionByName(days.withColumns({"close": F.col("close") * 1.5, "high": F.col("high") * 1.5}))
+    made = features.build_features(twice, "alpha").toPandas()
+    assert len(made) == twice.count()
+    for name in ("turnover_rate", "close_return_1", "volatility_10"):
+        want = made.groupby("trade_date")[name].rank(pct=True)
+        filled = made[f"{name}_cs_rank"]
+        assert np.allclose(filled[filled > 0], want[filled > 0])
