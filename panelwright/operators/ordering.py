@@ -182,11 +182,19 @@ def _window_rank(value: str, group: Sequence[str], lowest: bool) -> Column:
     return fraction if lowest else F.when(x.isNotNull(), fraction)
 
 
+def _step_of(value: str) -> Column:
+    """A whole number that never falls while the value rises; at most some 4 096 different values share one."""
+    x = F.col(value)
+    size = F.floor((F.log2(F.abs(x)) + F.lit(1100.0)) * F.lit(float(1 << 40)))
+    ends = F.when(x == F.lit(float("inf")), F.lit(1 << 62)).when(x == F.lit(float("-inf")), F.lit(-(1 << 62)))
+    return ends.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
 def _distributed_ranks(df: DataFrame, group: Sequence[str], values: dict[str, str], lowest: bool) -> DataFrame:
+    """One shuffle deals all values by range, sorted and numbered inside each slice; the rows of earlier slices are added."""
     group = list(group)
     # Rows get numbers of their own, stored with them, so copies of a key stay separate rows.
     df = materialized(df.withColumn("_row", F.monotonically_increasing_id()))
-    key = ["_row", *group]
     names = list(values)
     pairs = F.array(
         *[
@@ -197,33 +205,92 @@ def _distributed_ranks(df: DataFrame, group: Sequence[str], values: dict[str, st
             for i, v in enumerate(names)
         ]
     )
-    series = df.select(*key, F.explode(pairs).alias("_p")).select(*key, "_p._series", "_p._value")
+    series = df.select("_row", *group, F.explode(pairs).alias("_p")).select("_row", *group, "_p._series", "_p._value")
     series = series.where(F.col("_value").isNotNull())
-    by_series = [*group, "_series"]
-    counts = materialized(value_counts(series, by_series, "_value", in_window=False))
-    totals = counts.groupBy(*by_series).agg(F.sum("n").alias("_total"))
-    ranked = materialized(
-        join_groups(counts, totals, by_series).select(
-            *by_series,
-            "_value",
-            "n",
-            ((F.col("before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("_total")).alias("_rank"),
-        )
-    )
-    # A value held by very many rows would send them all to one join task. Such
-    # values are few (rows / limit), so they go by broadcast and the rest shuffles.
-    rows = counts.agg(F.sum("n").alias("rows")).first()["rows"] or 0
-    limit = max(HOT_VALUE_ROWS, rows // HOT_VALUES_MAX)
-    on = [*by_series, "_value"]
-    hot = F.broadcast(ranked.where(F.col("n") > limit).drop("n"))
-    rare = ranked.where(F.col("n") <= limit).drop("n")
-    per_row = join_groups(series, hot, on).unionByName(join_groups(join_groups(series, hot, on, "left_anti"), rare, on))
+    keys = [*group, "_series"]
+    hot = _hot_values(df, series, group, keys)
+    ranked = _slice_ranks(series if hot is None else _hot_as_one_row(series, hot, keys), hot, keys)
+    if hot is None:
+        per_row = ranked
+    else:
+        ranked = materialized(ranked)
+        known = F.broadcast(ranked.where(F.col("_row").isNull()).select(*keys, "_value", "_rank"))
+        found = join_groups(series, known, [*keys, "_value"]).select("_row", "_series", "_rank")
+        per_row = ranked.where(F.col("_row").isNotNull()).select("_row", "_series", "_rank").unionByName(found)
     wide = per_row.groupBy("_row").agg(
         *[F.max(F.when(F.col("_series") == i, F.col("_rank"))).alias(values[v]) for i, v in enumerate(names)]
     )
     return df.join(wide, "_row", "left").drop("_row")
 
 
+def _hot_values(df: DataFrame, series: DataFrame, group: Sequence[str], keys: Sequence[str]) -> DataFrame | None:
+    """Values held by so many rows that one task should not have them all, with their count ``n``; None if there are none.
+
+    They are few (rows / limit), so they go by broadcast. Nothing is counted where no group has as many rows.
+    """
+    limit = max(HOT_VALUE_ROWS, df.count() // HOT_VALUES_MAX)
+    if largest_group(df, group) <= limit:
+        return None
+    hot = materialized(series.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit))
+    return None if hot.isEmpty() else hot
+
+
+def _hot_as_one_row(series: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of rare values, and for each hot value one row without a number."""
+    rare = join_groups(series, F.broadcast(hot.drop("n")), [*keys, "_value"], "left_anti")
+    return rare.unionByName(hot.select(F.lit(None).cast("long").alias("_row"), *keys, "_value"))
+
+
+def _slice_ranks(series: DataFrame, hot: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """``_rank`` of every row of (_row, keys, _value), an average-tie rank divided by the rows of its group and series."""
+    by = [*keys, "_step"]
+    # The step is made again behind the shuffle instead of travelling.
+    dealt = series.repartitionByRange(*[F.col(k) for k in keys], _step_of("_value"))
+    dealt = dealt.withColumn("_step", _step_of("_value")).sortWithinPartitions(*by, "_value")
+    # Numbers rise inside a slice, which stands in the bits above. Steps, unlike doubles, let the windows below keep the slices.
+    numbered = dealt.withColumn("_number", F.monotonically_increasing_id())
+    step = Window.partitionBy(*by)
+    lower, upto = F.rank().over(step.orderBy("_value")) - 1, step.orderBy("_value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = ["_row", *keys] if hot is None else ["_row", *keys, "_value"]
+    sliced = materialized(
+        numbered.withColumns({"_lower": lower, "_upto": F.count(F.lit(1)).over(upto), "_head": F.min("_number").over(step)}).select(
+            *kept, F.shiftright("_head", 33).alias("_slice"),
+            (F.col("_head").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_lower")).alias("_first"), (F.col("_upto") - F.col("_lower")).alias("n"),
+        )
+    )
+    parts = sliced.groupBy(*keys, "_slice").agg(F.min("_first").alias("_start"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each group, series and slice that meet.
+    bounds = materialized(
+        parts.withColumns(
+            {"_offset": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)), "_total": F.sum("_rows").over(Window.partitionBy(*keys))}
+        ).drop("_rows")
+    )
+    placed = join_groups(sliced, bounds, [*keys, "_slice"]).withColumn("_before", F.col("_offset") + F.col("_first") - F.col("_start"))
+    if hot is not None:
+        # The one row of a hot value stands for n of them.
+        held = hot.groupBy(*keys).agg(F.collect_list(F.struct("_value", "n")).alias("_hot")).withColumnsRenamed({k: f"_right_{k}" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same = same & placed[k].eqNullSafe(held[f"_right_{k}"])
+        placed = placed.join(F.broadcast(held), same, "left").drop(*[f"_right_{k}" for k in keys])
+
+        def more(keep) -> Column:
+            found = F.filter(F.coalesce("_hot", F.array().cast("array<struct<_value:double,n:bigint>>")), keep)
+            return F.aggregate(found, F.lit(0).cast("long"), lambda t, h: t + h["n"] - 1)
+
+        own = F.aggregate(F.filter("_hot", lambda h: h["_value"] == F.col("_value")), F.lit(0).cast("long"), lambda t, h: t + h["n"])
+        placed = placed.withColumns(
+            {
+                "_before": F.col("_before") + more(lambda h: h["_value"] < F.col("_value")),
+                "_total": F.col("_total") + more(lambda h: F.lit(True)),
+                "n": F.when(F.col("_row").isNull(), own).otherwise(F.col("n")),
+            }
+        )
+    rank = (F.col("_before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("_total")
+    return placed.select("_row", *[c for c in (["_series"] if hot is None else [*keys, "_value"])], rank.alias("_rank"))
+
+
 def group_quantiles(
     df: DataFrame,
     group: Sequence[str],

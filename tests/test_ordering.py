@@ -1,6 +1,7 @@
 """The range-partitioned path must give what a window gives."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -123,3 +124,22 @@ def test_sketched_clip_is_close_in_rank(spark):
     exact = labels.clip_overall(panel.where("fold = 0"), 0.05)
     assert exact.count() == sum(f == 0 for f, _ in data)
     assert labels.clip_overall(panel.limit(0), 0.05, sketch_size=64).count() == 0
+
+
+def test_split_ranks_deal_the_values_once(table, monkeypatch):
+    stored, write = [], ordering.materialized
+    monkeypatch.setattr(ordering, "materialized", lambda df: stored.append(df) or write(df))
+    made = ordering.fractional_ranks(table, ["trade_date"], {"x": "rx", "y": "ry"}, in_window=False)
+    mode = table.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plans = [df._jdf.queryExecution().explainString(mode) for df in [*stored, made]]
+    dealt = [re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan) for plan in plans]
+    assert sum("_value" in columns for found in dealt for columns in found) == 1
+
+
+def test_steps_never_fall_while_values_rise(spark):
+    rng = random.Random(5)
+    ends = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), 1.0, 1.0 + 2**-52, 1.0 - 2**-53]
+    numbers = ends + [rng.choice([-1, 1]) * 2.0 ** rng.uniform(-1074, 1023) for _ in range(3000)] + [rng.gauss(0, 1) for _ in range(3000)]
+    made = spark.createDataFrame([(x,) for x in sorted(numbers)], "v double").withColumn("step", ordering._step_of("v")).toPandas()
+    made = made.sort_values("v", kind="stable")
+    assert (np.diff(made["step"]) >= 0).all() and made["step"].nunique() > 5900
